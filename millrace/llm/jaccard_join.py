@@ -16,7 +16,7 @@ those whose distance to the pivot differs by at most r and that are not connecte
 Regions above ``REGION`` shingles are cut into blocks, and every pair of blocks is joined.
 
 Null and empty texts have the empty set and are linked with nothing. A null doc_id is a document of
-its own. Repeated rows have the same set. An empty table gives no rows.
+its own. Repeated rows have the same set; rows with one doc_id are one document, linked. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -200,32 +200,30 @@ class Region:
                 self.link(int(x), rest)
 
 
-def _join_regions(num: int, den: int):
-    def links(names: list[int], sets: list[bytes]) -> tuple[list[int], list[int]]:
-        region = Region([np.frombuffer(s, "<u8") for s in sets], num, den)
+def _join_regions(k: int, num: int, den: int):
+    def links(names: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(names) < 2:
+            return
+        sets = [s for lo, hi in common.sliced(texts) for s in shingle_sets(texts[lo:hi], k)]
+        region = Region(sets, num, den)
         region.join(np.arange(len(names)))
         ids = np.array(names, np.int64)
         off = np.flatnonzero(region.component != np.arange(len(ids)))
-        return ids[off].tolist(), ids[region.component[off]].tolist()
+        if len(off):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[off]), pa.array(ids[region.component[off]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sets, now, a, b = [], [], None, [], []
+        names, texts, now = [], [], None
         for batch in batches:
-            part = batch.column("part").to_pylist()
-            for i, name in enumerate(batch.column("doc").to_pylist()):
-                if part[i] != now:
-                    if len(names) > 1:
-                        x, y = links(names, sets)
-                        a += x
-                        b += y
-                    names, sets, now = [], [], part[i]
-                names.append(name)
-                sets.append(batch.column("items")[i].as_py())
-        if len(names) > 1:
-            x, y = links(names, sets)
-            a += x
-            b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("part", "doc", "text")), strict=True)
+            for part, doc, text in rows:
+                if part != now:
+                    yield from links(names, texts)
+                    names, texts, now = [], [], part
+                if text and text.split(None, 1):
+                    names.append(doc)
+                    texts.append(text.encode())
+        yield from links(names, texts)
 
     return run
 
@@ -251,23 +249,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         common.unpack(_prefixes(docs, k, num, den, n_buckets, last), _PREFIX, _gather(num, den), "region long, set long").distinct()
         .join(names, "set").select("region", "doc", "n"), "jaccard-regions",
     )
-    members = regions.select("doc").distinct()
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            items = [s.tobytes() for lo, hi in common.sliced(raw) for s in shingle_sets(raw[lo:hi], k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(items, pa.binary())], names=["doc", "items"])
-
-    arrays = docs.select(F.col("doc_id").alias("doc"), "text").where("doc_id is not null")
-    arrays = arrays.join(members, "doc", "left_semi").mapInArrow(fetch, "doc long, items binary")
     sizes = regions.groupBy("region").agg(F.sum("n").alias("all"))
     blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("all") / F.lit(REGION))).cast("int")
     placed = regions.join(sizes.select("region", F.when(F.col("all") <= REGION, 1).otherwise(blocks).alias("blocks")), "region").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("region", "doc", "block", other.alias("other")).select("doc", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    rows = placed.join(arrays, "doc")
-    edges = rows.repartition(n_buckets, "part").sortWithinPartitions("part", "doc").mapInArrow(_join_regions(num, den), "a long, b long")
+    # texts cross the shuffle, at about half the size of their sets, which each region makes again
+    rows = placed.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("part", "doc", "text")
+    edges = rows.repartition(n_buckets, "part").sortWithinPartitions("part").mapInArrow(_join_regions(k, num, den), "a long, b long")
     components = common.connected(edges, "jaccard-links")
     # copies of one set: the class's smallest id, then the component's
     classes = reps.join(components.withColumnRenamed("id", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
