@@ -44,10 +44,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     and lets Spark drop the shuffle files that made it."""
     spark = df.sparkSession
     path, schema = scratch(spark, name), df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     free(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``save`` that nothing lazy refers to any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free(spark: SparkSession) -> None:

@@ -114,7 +114,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def reads(docs: DataFrame, symbols, k: int, length: int, across: bool) -> DataFrame:
-    """doc, mark, at, anchor, content of the reads of ``marked`` documents. ``across``: only repeats in other documents count."""
+    """doc, mark, at, anchor, content, hash of the reads of ``marked`` documents. ``across``: only repeats in other documents count."""
     n_buckets = common.buckets(docs)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,10 @@ def reads(docs: DataFrame, symbols, k: int, length: int, across: bool) -> DataFr
                 out[4] += [stretch(a, b + length) for a, b in zip(begin, last[hit].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["doc", "mark", "at", "anchor", "content"])
 
-    return beside(docs, side, cut, "doc long, mark long, at long, anchor long, content binary")
+    out = beside(docs, side, cut, "doc long, mark long, at long, anchor long, content binary").withColumn("hash", F.xxhash64("content"))
+    out = common.save(out, "repeat-reads")
+    common.drop(found)
+    return out
 
 
 def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> DataFrame:
@@ -172,10 +175,9 @@ def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> D
     ``group(reads, first)`` is the exact method: for distinct reads, with the (doc, place) of the first
     occurrence of each, it returns arrays (read, from, to, doc, place - from): for runs of windows
     of a read, where their first occurrence is. Here it runs over all reads of some anchors at a time.
+    An anchor's only read has no equal windows to be sorted among. The result is saved, ``found`` dropped.
     """
-    spark = found.sparkSession
-    key = F.xxhash64("content")
-    found = common.save(found.withColumn("hash", key), "repeat-reads")
+    spark, saved = found.sparkSession, found
     crowded = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor")
     crowded = common.save(crowded.withColumn("crowded", F.lit(True)), "repeat-crowded")
     if crowded.head(1):
@@ -189,8 +191,12 @@ def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> D
             words = F.split(F.col("content").cast("string"), " ")
             windows = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - length + 1), lambda i: F.array_join(F.slice(words, i, length), " ").cast("binary")))
             many = many.select("doc", "mark", "at", windows.alias("off", "content"))
-        many = many.select("doc", "mark", (F.col("at") + F.col("off")).alias("at"), F.xxhash64("content", F.lit(1)).alias("anchor"), "content", key.alias("hash"))
-        found = common.save(found.where("crowded is null").select("doc", "mark", "at", "anchor", "content", "hash").unionByName(many), "repeat-reads")
+        many = many.select("doc", "mark", (F.col("at") + F.col("off")).alias("at"), F.xxhash64("content", F.lit(1)).alias("anchor"), "content", F.xxhash64("content").alias("hash"))
+        found = found.where("crowded is null").select("doc", "mark", "at", "anchor", "content", "hash").unionByName(many)
+    def width(texts: list[bytes], read: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = np.fromiter((len(t) if symbols == "bytes" else t.count(b" ") + 1 for t in texts), np.int64, len(texts))
+        return read, np.zeros(len(read), np.int64), n - length, doc[read], at[read]
+
     first = F.min(F.struct("doc", "at"))
     distinct = found.groupBy("anchor", "content", "hash").agg(first.alias("first"), F.count("*").alias("n"))
 
@@ -199,8 +205,15 @@ def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> D
 
         def flush() -> pa.RecordBatch:
             anchor, contents, hashes, doc, at, n = zip(*held, strict=True)
-            doc, at = np.array(doc, np.int64), np.array(at, np.int64)
-            read, a, b, fd, fa = group(list(contents), doc, at)
+            doc, at, key = np.array(doc, np.int64), np.array(at, np.int64), np.array(anchor, np.int64)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            alone = new & np.concatenate([new[1:], [True]])
+            some = np.flatnonzero(~alone)
+            parts = [width([contents[i] for i in np.flatnonzero(alone)], np.flatnonzero(alone), doc, at)]
+            if len(some):
+                read, *rest = group([contents[i] for i in some], doc[some], at[some])
+                parts.append((some[read], *rest))
+            read, a, b, fd, fa = (np.concatenate(x) for x in zip(*parts, strict=True))
             # windows that are first where the read is first matter only if the read occurs again
             keep = (np.array(n)[read] > 1) | (fd != doc[read]) | (fa != at[read])
             read, a, b, fd, fa = read[keep], a[keep], b[keep], fd[keep], fa[keep]
@@ -222,7 +235,9 @@ def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> D
     earlier = F.col("first_doc") < F.col("doc")
     if not across:
         earlier = earlier | ((F.col("first_doc") == F.col("doc")) & (F.col("first_at") < F.col("at")))
-    return hits.where(earlier).select("doc", "mark", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))
+    out = common.save(hits.where(earlier).select("doc", "mark", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b")), "repeat-spans")
+    common.drop(saved, crowded)
+    return out
 
 
 def as_runs(read: np.ndarray, window: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:

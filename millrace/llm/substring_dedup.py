@@ -3,7 +3,7 @@
 The words covered by a window of ``length`` words that starts earlier (in a smaller doc_id, or
 earlier in the same document) are removed. Suffixes of the candidate reads (see ``repeats``) are split
 by variable-length prefixes: a prefix is made longer, a word at a time, for just the suffixes that
-still share it with too many others, so that every group fits in memory. Each group is one subtree:
+still share it with too many others, so that every group fits in memory. Each group is one subtree (or a few that are still together):
 its suffixes are parted at each depth by the next word, a branch with one suffix left is a leaf
 and followed no farther, and the branches that reach ``length`` words are the deep internal nodes, whose
 leaves are all places of a repeat.
@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import common, repeats
+from . import repeats
 
 LENGTH, GRAM = 20, 6
 #: Most suffixes of one subtree.
-SUBTREE = 100_000
+SUBTREE = 1_000_000
 
 
 def prefix_groups(suffixes: np.ndarray, words: np.ndarray, length: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -35,7 +35,7 @@ def prefix_groups(suffixes: np.ndarray, words: np.ndarray, length: int, most: in
         depth, group = todo.pop()
         if len(group) < 2:
             continue
-        if depth and len(group) <= most or depth == length:
+        if len(group) <= most or depth == length:
             yield depth, group
             continue
         letter = words[group + depth]
@@ -126,8 +126,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 column.append(value)
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3]), pa.array(out[4], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    side = common.save(covered(docs, length, gram), "repeat-spans")
-    return repeats.beside(docs, side, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>")
+    return repeats.beside(docs, covered(docs, length, gram), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>")
 
 
 SQL = r"""
