@@ -25,7 +25,7 @@ _OCCURRENCE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 _LOW = U64(0xFFFFFFFF)
 #: Stands for a null doc_id: a document after all others.
 NULL_DOC = (1 << 63) - 1
-#: Rows of one anchor from which its reads are cut into single windows, each a group of its own.
+#: Distinct reads of one anchor from which they are cut into single windows, each a group of its own.
 CROWDED = 50_000
 
 
@@ -178,7 +178,9 @@ def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> D
     An anchor's only read has no equal windows to be sorted among. The result is saved, ``found`` dropped.
     """
     spark, saved = found.sparkSession, found
-    crowded = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor")
+    heavy = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor")
+    kinds = found.select("anchor", "hash").join(heavy, "anchor", "left_semi").distinct()
+    crowded = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor")
     crowded = common.save(crowded.withColumn("crowded", F.lit(True)), "repeat-crowded")
     if crowded.head(1):
         # an anchor that a large share of the documents has: its windows go apart, each by its own hash
