@@ -5,8 +5,9 @@ of that length always holds the same anchor: the k-gram of least hash in it. Anc
 over the whole corpus (packed into one blob per task and bucket); only stretches around anchors that
 occur again become ``reads``: the symbols of all windows that have the anchor. Equal windows lie in
 reads of one anchor, so each anchor's reads can be sorted apart from all others, and equal reads
-stand for each other with their first occurrence. Nothing is decided by hashes: false repeats only
-make reads that the exact method then finds to be alone.
+stand for each other with their first occurrence. False repeats of anchors only make reads that the
+exact method then finds to be alone. Reads count as equal if their anchors' and their own 64-bit
+hashes are; only the first of equal reads, and only of anchors with different ones, travels with its symbols.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,7 +56,15 @@ class Bytes:
     def split(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, Callable[[int, int], bytes]]]:
         letters = common.mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
         for text in texts:
-            yield letters[np.frombuffer(text, np.uint8)], lambda a, b, t=text: t[a:b]
+            yield letters[np.frombuffer(text, np.uint8)], self.cutter(text)
+
+    @staticmethod
+    def cutter(text: bytes) -> Callable[[int, int], bytes]:
+        return lambda a, b: text[a:b]
+
+    @staticmethod
+    def windows(content: Column, length: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.octet_length(content) - length + 1), lambda i: F.substring(content, i, F.lit(length)))
 
 
 class Words:
@@ -64,21 +73,31 @@ class Words:
     def split(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, Callable[[int, int], bytes]]]:
         hashes, at = common.word_hashes(texts)
         for text, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            words: list[bytes] = []
+            yield hashes[a:b], self.cutter(text)
+
+    @staticmethod
+    def cutter(text: bytes) -> Callable[[int, int], bytes]:
+        words: list[bytes] = []
 
-            def cut(i: int, j: int, words=words, text=text) -> bytes:
-                if not words:
-                    words.extend(text.split())
-                return b" ".join(words[i:j])
+        def cut(i: int, j: int) -> bytes:
+            if not words:
+                words.extend(text.split())
+            return b" ".join(words[i:j])
 
-            yield hashes[a:b], cut
+        return cut
+
+    @staticmethod
+    def windows(content: Column, length: int) -> Column:
+        words = F.split(content.cast("string"), " ")
+        return F.transform(F.sequence(F.lit(1), F.size(words) - length + 1), lambda i: F.array_join(F.slice(words, i, length), " ").cast("binary"))
 
 
 def beside(docs: DataFrame, side: DataFrame, fn, schema: str) -> DataFrame:
     """Runs ``fn(batch, rows)`` over batches of ``docs`` (doc, mark, text) with the rows of ``side``
-    (doc, mark, a, b) of the same partition; one shuffle by document, and no sort of texts but by kind."""
-    both = docs.select("doc", "mark", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text", F.lit(True).alias("is_text")).unionByName(
-        side.select("doc", "mark", "a", "b", F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_text"))
+    (doc, mark, a and more, all long) of the same partition; one shuffle by document, and no sort of texts but by kind."""
+    names = side.columns
+    both = docs.select("doc", "mark", *(F.lit(None).cast("long").alias(c) for c in names[2:]), "text", F.lit(True).alias("is_text")).unionByName(
+        side.select(*names, F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_text"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +108,10 @@ def beside(docs: DataFrame, side: DataFrame, fn, schema: str) -> DataFrame:
             cut = int(np.searchsorted(kind, True))
             if cut:
                 part = batch.slice(0, cut)
-                held.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "mark", "a", "b")]))
+                held.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]))
             if cut < len(kind):
                 if rows is None:
-                    rows = np.concatenate(held, 1) if held else np.zeros((4, 0), np.int64)
+                    rows = np.concatenate(held, 1) if held else np.zeros((len(names), 0), np.int64)
                     rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
                 yield from fn(batch.slice(cut), rows)
 
@@ -114,7 +133,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def reads(docs: DataFrame, symbols, k: int, length: int, across: bool) -> DataFrame:
-    """doc, mark, at, anchor, content, hash of the reads of ``marked`` documents. ``across``: only repeats in other documents count."""
+    """doc, mark, at, n (symbols), anchor, hash of the reads of ``marked`` documents. ``across``: only repeats in other documents count."""
     n_buckets = common.buckets(docs)
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +161,16 @@ def reads(docs: DataFrame, symbols, k: int, length: int, across: bool) -> DataFr
 
     packed = docs.select("doc", "text").mapInArrow(occurrences, common.Packer.SCHEMA)
     found = common.save(common.unpack(packed, _OCCURRENCE, repeated, "doc long, a long"), "repeat-anchors")
-    side = found.select("doc", F.lit(0).cast("long").alias("mark"), "a", F.lit(0).cast("long").alias("b"))
+    side = found.select("doc", F.lit(0).cast("long").alias("mark"), "a")
 
     def cut(batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
         ids, marks = batch.column("doc").to_pylist(), batch.column("mark").to_pylist()
         raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
         for lo, hi in common.sliced(raw):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
             for doc, mark, (values, stretch) in zip(ids[lo:hi], marks[lo:hi], symbols.split(raw[lo:hi]), strict=True):
                 wanted = rows[2, of(rows, doc, None)]
                 if not len(wanted):
@@ -156,74 +178,80 @@ def reads(docs: DataFrame, symbols, k: int, length: int, across: bool) -> DataFr
                 grams = common.gram_hashes(values, k)
                 at, first, last = anchors(grams, k, length)
                 hit = np.flatnonzero(np.isin(at, wanted))
-                out[0] += [doc] * len(hit)
-                out[1] += [mark] * len(hit)
-                out[2] += (begin := first[hit].tolist())
-                out[3] += grams[at[hit]].view(np.int64).tolist()
-                out[4] += [stretch(a, b + length) for a, b in zip(begin, last[hit].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], names=["doc", "mark", "at", "anchor", "content"])
-
-    out = beside(docs, side, cut, "doc long, mark long, at long, anchor long, content binary").withColumn("hash", F.xxhash64("content"))
-    out = common.save(out, "repeat-reads")
+                begin, end = first[hit], last[hit] + length
+                hashes = np.fromiter((digest(stretch(a, b)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), U64, len(hit))
+                for column, part in zip(out, (np.full(len(hit), doc), np.full(len(hit), mark), begin, end - begin, grams[at[hit]].view(np.int64), hashes.view(np.int64)), strict=True):
+                    column.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "mark", "at", "n", "anchor", "hash"])
+
+    out = common.save(beside(docs, side, cut, "doc long, mark long, at long, n long, anchor long, hash long"), "repeat-reads")
     common.drop(found)
     return out
 
 
-def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> DataFrame:
-    """doc, mark, a, b: symbol ranges covered by windows that start earlier elsewhere.
+def spans(docs: DataFrame, found: DataFrame, symbols, length: int, group, across: bool) -> DataFrame:
+    """doc, mark, a, b: symbol ranges of ``marked`` documents covered by windows that start earlier elsewhere.
 
     ``group(reads, first)`` is the exact method: for distinct reads, with the (doc, place) of the first
     occurrence of each, it returns arrays (read, from, to, doc, place - from): for runs of windows
     of a read, where their first occurrence is. Here it runs over all reads of some anchors at a time.
-    An anchor's only read has no equal windows to be sorted among. The result is saved, ``found`` dropped.
+    Reads of an anchor that are all equal have no others to be sorted among. The result is saved, ``found`` dropped.
     """
-    spark, saved = found.sparkSession, found
-    heavy = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor")
-    kinds = found.select("anchor", "hash").join(heavy, "anchor", "left_semi").distinct()
-    crowded = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor")
-    crowded = common.save(crowded.withColumn("crowded", F.lit(True)), "repeat-crowded")
-    if crowded.head(1):
-        # an anchor that a large share of the documents has: its windows go apart, each by its own hash
-        found = found.join(crowded, "anchor", "left")
-        many = found.where("crowded")
-        if symbols == "bytes":
-            windows = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("content") - length + 1), lambda i: F.substring("content", i, F.lit(length))))
-            many = many.select("doc", "mark", "at", windows.alias("off", "content"))
-        else:
-            words = F.split(F.col("content").cast("string"), " ")
-            windows = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - length + 1), lambda i: F.array_join(F.slice(words, i, length), " ").cast("binary")))
-            many = many.select("doc", "mark", "at", windows.alias("off", "content"))
-        many = many.select("doc", "mark", (F.col("at") + F.col("off")).alias("at"), F.xxhash64("content", F.lit(1)).alias("anchor"), "content", F.xxhash64("content").alias("hash"))
-        found = found.where("crowded is null").select("doc", "mark", "at", "anchor", "content", "hash").unionByName(many)
-    def width(texts: list[bytes], read: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = np.fromiter((len(t) if symbols == "bytes" else t.count(b" ") + 1 for t in texts), np.int64, len(texts))
-        return read, np.zeros(len(read), np.int64), n - length, doc[read], at[read]
-
-    first = F.min(F.struct("doc", "at"))
-    distinct = found.groupBy("anchor", "content", "hash").agg(first.alias("first"), F.count("*").alias("n"))
+    spark = found.sparkSession
+    first = F.min(F.struct("doc", "at", "mark", "n")).alias("first")
+    kinds = common.save(found.groupBy("anchor", "hash").agg(first, F.count("*").alias("times")).select("anchor", "hash", "first.*", "times"), "repeat-kinds")
+    several = common.save(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeat-several")
+    lone = kinds.where("times > 1").join(several, "anchor", "left_anti").select(
+        "anchor", "hash", F.lit(0).cast("long").alias("a"), (F.col("n") - length).alias("b"), F.col("doc").alias("first_doc"), F.col("at").alias("first_at")
+    )
+    wanted = kinds.join(several, "anchor").select("doc", "mark", F.col("at").alias("a"), "n", "anchor", "hash", "times", "kinds")
+
+    def fetch(batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, marks, raw = batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]
+        for lo, hi in common.sliced(raw):
+            parts, contents = [rows[:, :0]], []
+            for doc, mark, text in zip(ids[lo:hi], marks[lo:hi], raw[lo:hi], strict=True):
+                part = rows[:, of(rows, doc, mark)]
+                if part.shape[1]:
+                    stretch = symbols.cutter(text)
+                    contents += [stretch(a, a + k) for a, k in zip(part[2].tolist(), part[3].tolist(), strict=True)]
+                    parts.append(part)
+            doc, _, at, _, anchor, key, times, many = np.concatenate(parts, 1)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, at, anchor, key, times, many)), pa.array(contents, pa.binary())], names=["doc", "at", "anchor", "hash", "times", "kinds", "content"])
+
+    contents = beside(docs, wanted, fetch, "doc long, at long, anchor long, hash long, times long, kinds long, content binary")
+    runs = lone
+    tables = [kinds, several]
+    if several.where(F.col("kinds") > CROWDED).head(1):
+        # an anchor with more kinds of reads than a task should hold: their windows go apart
+        contents = common.save(contents, "repeat-contents")
+        tables.append(contents)
+        each = contents.where(F.col("kinds") > CROWDED).select("anchor", "hash", "doc", "at", "times", F.posexplode(symbols.windows(F.col("content"), length)).alias("off", "window"))
+        least = each.groupBy("window").agg(F.min(F.struct("doc", (F.col("at") + F.col("off")).alias("at"))).alias("first"))
+        off = F.col("off").cast("long")
+        moved = (F.col("times") > 1) | (F.col("first.doc") != F.col("doc")) | (F.col("first.at") != F.col("at") + off)
+        runs = runs.unionByName(
+            each.join(least, "window").where(moved).select("anchor", "hash", off.alias("a"), off.alias("b"), F.col("first.doc").alias("first_doc"), (F.col("first.at") - off).alias("first_at"))
+        )
+        contents = contents.where(F.col("kinds") <= CROWDED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            anchor, contents, hashes, doc, at, n = zip(*held, strict=True)
-            doc, at, key = np.array(doc, np.int64), np.array(at, np.int64), np.array(anchor, np.int64)
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            alone = new & np.concatenate([new[1:], [True]])
-            some = np.flatnonzero(~alone)
-            parts = [width([contents[i] for i in np.flatnonzero(alone)], np.flatnonzero(alone), doc, at)]
-            if len(some):
-                read, *rest = group([contents[i] for i in some], doc[some], at[some])
-                parts.append((some[read], *rest))
-            read, a, b, fd, fa = (np.concatenate(x) for x in zip(*parts, strict=True))
+            anchor, hashes, texts, doc, at, times = zip(*held, strict=True)
+            doc, at = np.array(doc, np.int64), np.array(at, np.int64)
+            read, a, b, fd, fa = group(list(texts), doc, at)
             # windows that are first where the read is first matter only if the read occurs again
-            keep = (np.array(n)[read] > 1) | (fd != doc[read]) | (fa != at[read])
+            keep = (np.array(times)[read] > 1) | (fd != doc[read]) | (fa != at[read])
             read, a, b, fd, fa = read[keep], a[keep], b[keep], fd[keep], fa[keep]
             return pa.RecordBatch.from_arrays([pa.array(np.array(anchor, np.int64)[read]), pa.array(np.array(hashes, np.int64)[read]), *map(pa.array, (a, b, fd, fa))], names=["anchor", "hash", "a", "b", "first_doc", "first_at"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "content", "hash", "doc", "at", "n")]
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "hash", "content", "doc", "at", "times")]
             for row in zip(*columns, strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # a repeated row of the table
                 if len(held) >= 16_384 and row[0] != held[-1][0]:
                     yield flush()
                     held = []
@@ -232,13 +260,15 @@ def spans(found: DataFrame, symbols: str, length: int, group, across: bool) -> D
             yield flush()
 
     n = common.partitions(spark)
-    runs = distinct.select("anchor", "content", "hash", "first.doc", "first.at", "n").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, hash long, a long, b long, first_doc long, first_at long")
+    sorted_out = contents.drop("kinds").repartition(n, "anchor").sortWithinPartitions("anchor", "hash").mapInArrow(run, "anchor long, hash long, a long, b long, first_doc long, first_at long")
+    runs = common.save(runs.unionByName(sorted_out), "repeat-runs")
+    common.drop(*tables)
     hits = found.select("doc", "mark", "at", "anchor", "hash").join(runs, ["anchor", "hash"])
     earlier = F.col("first_doc") < F.col("doc")
     if not across:
         earlier = earlier | ((F.col("first_doc") == F.col("doc")) & (F.col("first_at") < F.col("at")))
     out = common.save(hits.where(earlier).select("doc", "mark", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b")), "repeat-spans")
-    common.drop(saved, crowded)
+    common.drop(found, runs)
     return out
 
 

@@ -104,7 +104,7 @@ def first_places(length: int):
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, mark, a, b: ranges of words to remove (they may overlap) of ``repeats.marked`` documents."""
     found = repeats.reads(docs, repeats.Words(), gram, length, across=False)
-    return repeats.spans(found, "words", length, first_places(length), across=False)
+    return repeats.spans(docs, found, repeats.Words(), length, first_places(length), across=False)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

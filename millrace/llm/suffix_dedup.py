@@ -107,7 +107,7 @@ def first_documents(length: int):
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, mark, a, b: ranges of bytes to remove (they may overlap) of ``repeats.marked`` documents."""
     found = repeats.reads(docs, repeats.Bytes(), gram, length, across=True)
-    return repeats.spans(found, "bytes", length, first_documents(length), across=True)
+    return repeats.spans(docs, found, repeats.Bytes(), length, first_documents(length), across=True)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
