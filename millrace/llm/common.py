@@ -218,7 +218,14 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
-def sliced(texts: Iterable[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with the bytes of its column text (null: empty), so that no whole batch is held as Python values."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        yield part, [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+
+
+def sliced(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``size`` bytes together (one text at least)."""
     start = total = n = 0
     for n, text in enumerate(texts, 1):

@@ -52,8 +52,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        for batch, raw in (piece for whole in batches for piece in common.pieces(whole)):
             n, digest = [], []
             for lo, hi in common.sliced(raw):
                 for s in shingle_sets(raw[lo:hi], k):
@@ -75,8 +74,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, n_buckets: int, last=
         import xxhash
 
         out, late = common.Packer(_PREFIX, n_buckets), last.value if last is not None else np.zeros(0, U64)
-        for batch in batches:
-            raw = [t.encode() for t in batch.column("text").to_pylist() if t]
+        for _, raw in (piece for whole in batches for piece in common.pieces(whole)):
             for lo, hi in common.sliced(raw):
                 keys, names, sizes = [], [], []
                 for s in shingle_sets(raw[lo:hi], k):

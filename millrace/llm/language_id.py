@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-
 BITS, ORDERS = 13, (1, 2, 3, 4)
 LANGS, PER_LANG, TRAIN_CHARS, LANDMARKS_PER_LANG, RIDGE = 100, 300, 4_000, 40, 1e-3
 UNKNOWN = "und"
@@ -104,18 +102,15 @@ def predict(docs: DataFrame, model: Kernels) -> DataFrame:
         import regex
 
         letter, m, x = regex.compile(r"\p{L}"), model.value, np.zeros((256, 1 << BITS), np.float32)
-        for batch in batches:
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
             texts = batch.column(at).to_pylist()
-            langs, scores = [], []
-            for lo in range(0, len(texts), 256):
-                part = texts[lo : lo + 256]
-                ok = [bool(t) and letter.search(t) is not None and bool(m.langs) for t in part]
-                if m.langs:
-                    presence([t.lower().encode() if k else b"" for t, k in zip(part, ok, strict=True)], x[: len(part)])
-                    s = m.scores(x[: len(part)])
-                    best = s.argmax(1)
-                langs += [m.langs[best[i]] if k else UNKNOWN for i, k in enumerate(ok)]
-                scores += [float(s[i, best[i]]) if k else 0.0 for i, k in enumerate(ok)]
+            ok = [bool(t) and letter.search(t) is not None and bool(m.langs) for t in texts]
+            if m.langs:
+                presence([t.lower().encode() if k else b"" for t, k in zip(texts, ok, strict=True)], x[: len(texts)])
+                s = m.scores(x[: len(texts)])
+                best = s.argmax(1)
+            langs = [m.langs[best[i]] if k else UNKNOWN for i, k in enumerate(ok)]
+            scores = [float(s[i, best[i]]) if k else 0.0 for i, k in enumerate(ok)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
