@@ -13,6 +13,7 @@ hashes are; only the first of equal reads, and only of anchors with different on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ _LOW = U64(0xFFFFFFFF)
 NULL_DOC = (1 << 63) - 1
 #: Distinct reads of one anchor from which they are cut into single windows, each a group of its own.
 CROWDED = 50_000
+#: Reads sorted at once, an anchor's always together; passes over ranges of anchors in which runs meet the reads they hold for.
+TOGETHER, PASSES = 4096, 4
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -252,7 +255,7 @@ def spans(docs: DataFrame, found: DataFrame, symbols, length: int, group, across
             for row in zip(*columns, strict=True):
                 if held and row[:2] == held[-1][:2]:
                     continue  # a repeated row of the table
-                if len(held) >= 16_384 and row[0] != held[-1][0]:
+                if len(held) >= TOGETHER and row[0] != held[-1][0]:
                     yield flush()
                     held = []
                 held.append(row)
@@ -263,13 +266,17 @@ def spans(docs: DataFrame, found: DataFrame, symbols, length: int, group, across
     sorted_out = contents.drop("kinds").repartition(n, "anchor").sortWithinPartitions("anchor", "hash").mapInArrow(run, "anchor long, hash long, a long, b long, first_doc long, first_at long")
     runs = common.save(runs.unionByName(sorted_out), "repeat-runs")
     common.drop(*tables)
-    hits = found.select("doc", "mark", "at", "anchor", "hash").join(runs, ["anchor", "hash"])
     earlier = F.col("first_doc") < F.col("doc")
     if not across:
         earlier = earlier | ((F.col("first_doc") == F.col("doc")) & (F.col("first_at") < F.col("at")))
-    out = common.save(hits.where(earlier).select("doc", "mark", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b")), "repeat-spans")
+    turn, parts = F.pmod(F.shiftright("anchor", 7), F.lit(PASSES)), []
+    for i in range(PASSES):
+        # every anchor is in one pass; a pass's shuffle is gone before the next begins
+        hits = found.where(turn == i).select("doc", "mark", "at", "anchor", "hash").join(runs.where(turn == i), ["anchor", "hash"])
+        parts.append(common.save(hits.where(earlier).select("doc", "mark", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b")), "repeat-spans"))
+        del hits
     common.drop(found, runs)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def as_runs(read: np.ndarray, window: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -62,8 +62,8 @@ def column_wise(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray
         going = size[who] >= length
         who, place = who[going], place[going]
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
+        rank = np.empty(len(bwt), np.int32 if len(bwt) < 1 << 31 else np.int64)
+        rank[order] = np.arange(len(bwt), dtype=rank.dtype)
         # after the m empty suffixes come those that each known symbol makes, in the order of (symbol, what follows)
         place = m + rank[place] - int((bwt == 0).sum())
         by = np.argsort(place)
