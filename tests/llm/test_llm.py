@@ -212,6 +212,40 @@ def test_licenses(spark):
     assert got == {1: (1, 1, "Apache-2.0"), 2: (1, 1, "proprietary"), 3: (1, 0, ""), 4: (0, 0, ""), 5: (2, 2, "GPL-3.0,MIT")}
 
 
+def test_every_license_of_a_block(spark):
+    t = licenses.TEMPLATES
+    mit, filler = t["MIT"], " ".join(f"word{i}" for i in range(120))
+    texts = [(1, f"{mit}\n{t['proprietary']}"), (2, "\n".join(t[n] for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0"))), (3, f"{filler} {mit} {filler}"), (4, f"licensed {filler} {t['MPL-2.0'].replace('Form', 'File')} {filler}")]
+    got = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in (1, 2, 3)] == ["MIT,proprietary", "Apache-2.0,CC-BY-NC-4.0,GPL-3.0,MIT", "MIT"]
+    assert {(m.license, m.difference, m.wording) for m in got[4].matches} == {("MPL-2.0", 0.0625, "form > file")}
+
+
+def test_wordings():
+    """Against all runs of all blocks."""
+    rng, found = random.Random(4), 0
+    for _ in range(300):
+        template = rng.choices("abcdefghijklm", k=rng.randint(1, 24))
+        block = template[:] if rng.random() < 0.8 else []
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(block))
+            block[at : at + rng.randint(0, 1)] = rng.choices("abcxyz", k=rng.randint(0, 1))
+        block = rng.choices("abcdefghijklm", k=rng.randint(0, 9)) + block + rng.choices("abcdefghijklm", k=rng.randint(0, 9))
+        least = len(template)
+        for lo in range(len(block)):
+            row = [0] * (len(template) + 1)
+            for hi in range(lo, len(block)):
+                new = [0]
+                for i, word in enumerate(template):
+                    new.append(max(row[i] + (word == block[hi]), row[i + 1], new[i]))
+                row = new
+                least = min(least, max(len(template), hi + 1 - lo) - row[-1])
+        got = licenses.Wordings({"t": " ".join(template)}).find(block)
+        assert ("t" in got) == (least <= 0.1 * len(template)) and (not got or got["t"][0] == least)
+        found += bool(got)
+    assert 50 < found < 300
+
+
 def test_quality(spark):
     clean = " ".join(f"w{i}" for i in range(60))
     rows = [(i, "Menu 3 home\n" + (clean.replace("w", f"d{i}x") if i % 2 else "Menu 3 home"), "s") for i in range(60)]
