@@ -221,6 +221,17 @@ def test_every_license_of_a_block(spark):
     assert {(m.license, m.difference, m.wording) for m in got[4].matches} == {("MPL-2.0", 0.0625, "form > file")}
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    filler, wide = "\n".join(f"line {i} of the text" for i in range(150)), gpl.replace("\n", "\n *" + " " * 900)
+    texts = [(1, mit), (2, bsd), (3, gpl), (4, f"{filler}\n# {bsd}\n{filler}"), (5, f"foo\n\n{mit}\n \nbar\n\n{bsd}"), (6, f"{filler}\n{wide}\n{filler}")]
+    got = {r.doc_id: (r.licenses, r.n_blocks) for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3, 5)] == [("MIT-grant", 1), ("BSD-3-Clause", 1), ("GPL-3.0-header", 1), ("BSD-3-Clause,MIT-grant", 2)]
+    assert got[4][0] == "BSD-3-Clause" and got[6][0] == "GPL-3.0-header"
+
+
 def test_wordings():
     """Against all runs of all blocks."""
     rng, found = random.Random(4), 0
