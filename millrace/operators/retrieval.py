@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Queries broadcast at once; more go through in blocks of this many ids.
 QUERY_BLOCK = 10_000
+#: Text queries held by a task at once. Words in more than this share of them, and at most so many, are scored by a matrix product.
+TEXT_BLOCK, OFTEN, MOST_OFTEN = 4_000, 0.02, 3_000
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, filter_label: bool = False) -> DataFrame:
@@ -75,6 +79,80 @@ def bm25_search(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.5,
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long")).where("score > 0")
 
 
+def _scores(batches, given, k: int, k1: float, b: float, avgdl: float):
+    """The k best documents of a task for every query, of (doc_id, tokens): query_id, doc_id, score."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids, vocabulary, hot, dense, at, query, weight = given.value
+    n, none = len(ids), np.zeros(0, np.int64)
+    least, held = np.zeros(n), (none, none, np.zeros(0))
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            docs, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(dl)), dl)[found >= 0]
+            key, tf = np.unique(row * len(vocabulary) + found[found >= 0], return_counts=True)
+            row, tok = np.divmod(key, max(1, len(vocabulary)))
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            often, left = np.zeros((len(dl), len(dense))), np.zeros((len(dl), n))
+            common = hot[tok] >= 0
+            often[row[common], hot[tok[common]]] = part[common]
+            row, tok, part = row[~common], tok[~common], part[~common]
+            times = at[tok + 1] - at[tok]
+            pos = np.arange(times.sum()) + np.repeat(at[tok] - (np.cumsum(times) - times), times)
+            left += np.bincount(np.repeat(row, times) * n + query[pos], np.repeat(part, times) * weight[pos], left.size).reshape(left.shape)
+            score = np.round(left + often @ dense, 6)
+            r, q = np.nonzero((score >= least) & (score > 0) & (docs[:, None] != ids))
+            q, d, sc = (np.concatenate(x) for x in zip(held, (q, docs[r], score[r, q]), strict=True))
+            order = np.lexsort((d, -sc, q))
+            q, d, sc = q[order], d[order], sc[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            least[q[place == k - 1]] = sc[place == k - 1]
+            held = q[place < k], d[place < k], sc[place < k]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "doc_id", "score"])
+
+
+def bm25_queries(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score, rank of the k best documents of each query (query_id, text), as of ``bm25_search`` for its tokens.
+
+    Every document is held against every query: words of many queries by a matrix product, the others
+    by their postings. A block of queries goes to the executors at once; a task hands on k rows per query.
+    A query's own document (doc_id = query_id) doesn't count. Ids are unique and not null.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark, n = docs.sparkSession, queries.count()
+    if n > TEXT_BLOCK:
+        n = -(-n // TEXT_BLOCK) + 1
+        out = [bm25_queries(docs, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), k, k1, b) for i in range(n)]
+        return functools.reduce(DataFrame.unionByName, out)
+    idf, size = bm25_stats(docs)
+    terms = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).join(idf, "tok").select(F.col("doc_id").alias("query_id"), "tok", (F.col("tf") * F.col("idf")).alias("weight")).toArrow().combine_chunks()
+    word = terms["tok"].combine_chunks().dictionary_encode() if len(terms) else pa.array([], pa.string()).dictionary_encode()
+    tok, weight = word.indices.to_numpy(), terms["weight"].to_numpy()
+    ids, query = np.unique(terms["query_id"].to_numpy(), return_inverse=True)
+    order = np.lexsort((query, tok))
+    tok, query, weight = tok[order], query[order], weight[order]
+    held_by = np.bincount(tok, minlength=len(word.dictionary))
+    often = np.flatnonzero(held_by > OFTEN * len(ids))
+    often = often[np.argsort(-held_by[often], kind="stable")][:MOST_OFTEN]
+    hot = np.full(len(held_by), -1)
+    hot[often] = np.arange(len(often))
+    dense = np.zeros((len(often), len(ids)))
+    dense[hot[tok[hot[tok] >= 0]], query[hot[tok] >= 0]] = weight[hot[tok] >= 0]
+    given = spark.sparkContext.broadcast((ids.astype(np.int64), word.dictionary, hot, dense, np.concatenate([[0], np.cumsum(held_by)]), query, weight))
+    avgdl = size.first().avgdl or 1.0
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("tokens"))
+    best = tokens.mapInArrow(lambda batches: _scores(batches, given, k, k1, b, avgdl), "query_id long, doc_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, key, rank) lists: sum of 1 / (k + rank), ranks from 1; equal keys merge."""
     both = None

@@ -79,6 +79,13 @@ def rrf_fusion(spark, d):
     return retrieval.fuse([words, vectors])
 
 
+def rrf_fusion_queries(spark, d):
+    """Every id divisible by 100 is a query, by the text of that document and by that vector; each of the two lists counts where it is."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    words = retrieval.bm25_queries(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    return retrieval.fuse([words.select("query_id", F.col("doc_id").alias("key"), "rank"), knn_topk(spark, d).select("query_id", F.col("vec_id").alias("key"), "rank")])
+
+
 def retrieval_eval(spark, d):
     vectors, near = _neighbours(spark, d)
     expected = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.array("label").alias("expected"))
@@ -228,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_stats": f"with {_TOK} select tok, df, round(idf, 6) as idf from id",
         "bm25_search": f"with {_BM} select doc_id, score, rank from bm where score > 0",
         "rrf_fusion": f"with {_BM}, {_KNN}, u as (select doc_id as key, rank, 0 as l from bm where score > 0 union all select vec_id, rank, 1 from nn where query_id = 0), f as (select key, sum(1.0::double / (60 + rank)) as s, min(l * 1000 + rank) as seen from u group by 1) select 0::bigint as query_id, key, round(s, 9) as score, row_number() over (order by round(s, 12) desc, seen, key) as place from f",
+        "rrf_fusion_queries": f"with {_TOK}, {_KNN}, bq as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select q.doc_id as query_id, p.doc_id, round(sum(q.tf * idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / avgdl))), 6) as score from p q join p on p.tok = q.tok and p.doc_id <> q.doc_id join id on id.tok = q.tok, sz where q.doc_id % 100 = 0 group by 1, 2)), u as (select query_id, doc_id as key, rank, 0 as l from bq where rank <= 20 and score > 0 union all select query_id, vec_id, rank, 1 from nn), f as (select query_id, key, sum(1.0::double / (60 + rank)) as s, min(l * 1000 + rank) as seen from u group by 1, 2) select query_id, key, round(s, 9) as score, row_number() over (partition by query_id order by round(s, 12) desc, seen, key) as place from f",
         "retrieval_eval": f"with {_KNN}, b as (select q.vec_id, min(case when nn.label = q.label then rank end) as r from embeddings q left join nn on nn.query_id = q.vec_id where q.vec_id % 100 = 0 group by 1) select count(*) as cases, round_even(avg((coalesce(r, 99) <= 1)::int), 4) as hit1, round_even(avg((coalesce(r, 99) <= 3)::int), 4) as hit3, round_even(avg((coalesce(r, 99) <= 5)::int), 4) as hit5, round_even(avg(coalesce(1.0::double / r, 0)), 4) as mrr, round_even(avg((r is null)::int), 4) as miss from b",
         "judge_summary": "select count(*) as n, round_even(avg(case when toxic = 0 then quality end), 4) as hit_rate, round_even(avg(toxic), 4) as error_rate from labels",
         "balanced_sample": "select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as k, count(*) over (partition by lang) as t from documents) where (k * least(t, 100)) // t > ((k - 1) * least(t, 100)) // t",
@@ -252,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
-        triage_vote, knn_topk, prior_distribution, label_examples, consult_filtered_knn, bm25_stats, bm25_search, rrf_fusion, retrieval_eval, judge_summary,
+        triage_vote, knn_topk, prior_distribution, label_examples, consult_filtered_knn, bm25_stats, bm25_search, rrf_fusion, rrf_fusion_queries, retrieval_eval, judge_summary,
         balanced_sample, head_sample, truncate_documents, label_balance, cleaning, cleaning_report, pii_mask, pii_mask_documents, safety_flags, symptom_validity,
         drug_candidates, kg_triples, kg_nodes, kg_stats, kg_two_hop, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_decision, audit_timeline,
     )

@@ -61,6 +61,26 @@ def test_vote_and_fusion(spark):
     assert retrieval.fuse([one, two]).first().score == pytest.approx(1 / 61 + 1 / 63, abs=1e-8)
 
 
+def test_fusion_of_all_queries(spark, con):
+    want = {q for t, c in (("documents", "doc_id"), ("embeddings", "vec_id")) for (q,) in con.sql(f"select {c} from {t} where {c} % 100 = 0").fetchall()}
+    assert len(want) > 1 and {r.query_id for r in catalogue.queries()["rrf_fusion_queries"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize(("often", "block"), [(0.02, 4000), (0.3, 2), (2.0, 4000)])
+def test_bm25_queries(spark, monkeypatch, often, block):
+    monkeypatch.setattr(retrieval, "OFTEN", often)
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", block)
+    texts = [(i, " ".join(f"w{(i * j * 7 + j) % 23}" for j in range(i % 13))) for i in range(40)] + [(40, None), (41, "W1 w1 w1 nowhere")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = [7, 11, 12, 13, 40, 41]
+    got = {}
+    for r in retrieval.bm25_queries(docs, docs.where(docs.doc_id.isin(asked)).selectExpr("doc_id as query_id", "text"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, round(r.score, 5)))
+    for q in asked:
+        one = [(r.doc_id, round(r.score, 5)) for r in retrieval.bm25_search(docs, (texts[q][1] or "").lower().split(), k=6).orderBy("rank").collect()] if texts[q][1] else []
+        assert sorted(got.get(q, [])) == [(i + 1, *x) for i, x in enumerate([x for x in one if x[0] != q][:5])]
+
+
 def test_sampling_and_lookup(spark):
     seven = spark.createDataFrame([(i, "a") for i in range(1, 8)], "seq long, label string")
     assert sorted(r.seq for r in records.balanced_sample(seven, "label", "seq", 3).collect()) == [3, 5, 7]
