@@ -178,6 +178,11 @@ def kg_two_hop(spark, d):
     return graph.two_hop(tr, tr.where("pred = 'symptom_of'").select(F.col("head").alias("start")).distinct(), branch=3)
 
 
+def kg_two_hop_defaults(spark, d):
+    tr = _star(spark, d)
+    return graph.two_hop(tr, tr.where("pred = 'symptom_of'").select(F.col("head").alias("start")).distinct())
+
+
 def cascade_lookup(spark, d):
     names = _t(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return records.cascade_lookup(names, spark.createDataFrame([(q,) for q in LOOKUPS], "query string"))
@@ -248,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "safety_flags": f"select id::bigint as id, concat_ws(',', case when regexp_matches(text, '{_ANY(T.DANGER)}') then '危险信号' end, case when regexp_matches(text, '{_ANY(T.DIAGNOSTIC)}') then '诊断性表述' end) as flags from {_values(SAFE_ROWS, 'id, text')}",
         "symptom_validity": f"select name, length(name) between 2 and 12 and not regexp_matches(name, '[A-Za-z0-9≥≤><%.．/+°℃()（）~～=＝-]') and (name in ('感觉异常', '行为异常', '月经异常') or not regexp_matches(name, '{_ANY(T.PATHOLOGY_WORDS)}|({_ANY(T.BAD_SYMPTOM_SUFFIXES)})$')) as valid from {_values(SYMPTOM_ROWS, 'name')}",
         "kg_two_hop": "with li as (select p_brand, p_name, l_suppkey from lineitem join part on l_partkey = p_partkey), s as (select p_brand as head, p_name as tail, count(*) as cnt from li group by 1, 2), g as (select p_name as head, l_suppkey::varchar as tail, count(*) as cnt from li group by 1, 2), ind as (select tail, count(*) as i from s group by 1), h as (select head as start, s.tail as disease, round(cnt / (1 + 0.5 * ln(1 + i)), 6) as score, row_number() over (partition by head order by round(cnt / (1 + 0.5 * ln(1 + i)), 6) desc, s.tail) as place from s join ind on s.tail = ind.tail) select start, disease, score, place, 'has_drug' as relation, name, cnt from (select h.*, g.tail as name, g.cnt, row_number() over (partition by start, disease order by g.cnt desc, g.tail) as r from h join g on g.head = disease where place <= 3) where r <= 3",
+        "kg_two_hop_defaults": "with li as (select p_brand, p_name, l_suppkey from lineitem join part on l_partkey = p_partkey), s as (select p_brand as head, p_name as tail, count(*) as cnt from li group by 1, 2), g as (select p_name as head, l_suppkey::varchar as tail, count(*) as cnt from li group by 1, 2), ind as (select tail, count(*) as i from s group by 1), h as (select head as start, s.tail as disease, round(cnt / (1 + 0.5 * ln(1 + i)), 6) as score, row_number() over (partition by head order by round(cnt / (1 + 0.5 * ln(1 + i)), 6) desc, s.tail) as place from s join ind on s.tail = ind.tail) select start, disease, score, place, 'has_drug' as relation, name, cnt from (select h.*, g.tail as name, g.cnt, row_number() over (partition by start, disease order by g.cnt desc, g.tail) as r from h join g on g.head = disease where place <= 5) where r <= 20",
         "cascade_lookup": f"with n as (select distinct p_name as name from part), c as (select query, name, case when trim(name) = trim(query) then 1 when contains(name, query) then 2 when contains(query, name) then 3 end as tier from n, {_values([(q,) for q in LOOKUPS], 'query')}), m as (select *, min(tier) over (partition by query) as l from c where tier is not null) select query, tier::bigint as tier, name, n_hits from (select query, tier, name, count(*) over (partition by query) as n_hits, row_number() over (partition by query order by name) as r from m where tier = l) where r <= 5",
         "last_messages": "select conv_id, turn, role, back from (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations where role in ('user', 'assistant')) where back <= 5",
         "latest_messages": "select conv_id, arg_max(text, turn) filter (role = 'user') as question, arg_max(text, turn) filter (role = 'assistant' and text <> '') as answer from conversations group by 1",
@@ -262,6 +268,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
         triage_vote, knn_topk, prior_distribution, label_examples, consult_filtered_knn, bm25_stats, bm25_search, rrf_fusion, rrf_fusion_queries, retrieval_eval, judge_summary,
         balanced_sample, head_sample, truncate_documents, label_balance, cleaning, cleaning_report, pii_mask, pii_mask_documents, safety_flags, symptom_validity,
-        drug_candidates, kg_triples, kg_nodes, kg_stats, kg_two_hop, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_decision, audit_timeline,
+        drug_candidates, kg_triples, kg_nodes, kg_stats, kg_two_hop, kg_two_hop_defaults, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_decision, audit_timeline,
     )
     return {f.__name__: f for f in fs}

@@ -46,6 +46,18 @@ def test_graph(spark):
     assert {r.score for r in best} == {1.2909} and {r.name for r in best if r.relation == "has_drug"} == {"二甲双胍", "胰岛素"}
 
 
+def test_two_hop_defaults(spark, con):
+    """As many diseases and tails as there are, up to 5 and 20."""
+    got = catalogue.queries()["kg_two_hop_defaults"](spark, SF).collect()
+    parts = dict(con.sql("select p_brand, least(count(distinct p_name), 5) from lineitem join part on l_partkey = p_partkey group by 1").fetchall())
+    tails = dict(con.sql("select p_name, least(count(distinct l_suppkey), 20) from lineitem join part on l_partkey = p_partkey group by 1").fetchall())
+    found = {}
+    for r in got:
+        found.setdefault((r.start, r.disease), []).append(r.name)
+    assert {b: sum(k[0] == b for k in found) for b in parts} == parts and max(parts.values()) > 3
+    assert all(len(v) == tails[k[1]] for k, v in found.items()) and max(map(len, found.values())) > 3
+
+
 def test_masks(spark):
     got = {r.id: (r.masked, r.hits) for r in catalogue.pii_mask(spark, SF).collect()}
     assert got[1] == ("我是***，******，电话***", 4) and got[2] == ("中关村***", 1) and got[3] == ("113800138000", 0) and got[5] == (None, 0)
