@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,7 +55,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = [(t or "").encode() for t in texts[lo:hi]]
             hashes, at = common.word_hashes(raw)
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-            out: dict[str, list] = {k: [] for k in (*names, "lines", "line_words")}
+            out: dict[str, list] = {k: [] for k in (*names, "lines", "line_words", "line_at")}
             for text, data, a, b in zip(texts[lo:hi], raw, at[:-1], at[1:], strict=True):
                 view = np.frombuffer(data, np.uint8)
                 space = common._SPACE[view]
@@ -63,38 +63,46 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["word_chars"].append(int((~space & ((view & 0xC0) != 0x80)).sum()))
                 out["n_symbols"].append(int(_SYMBOL[view].sum()))
                 out["n_repeat_words"].append(repeated_words(common.gram_hashes(hashes[a:b], 3), int(b - a), 3))
-                seen, dup, lines = set(), 0, {}
-                for line, plain in zip(data.split(b"\n"), (text or "").lower().translate(_DIGITS).split("\n"), strict=True):
+                seen, dup, lines, places = set(), 0, {}, {}
+                for i, (line, plain) in enumerate(zip(data.split(b"\n"), (text or "").lower().translate(_DIGITS).split("\n"), strict=True)):
                     if n := len(line.split()):
                         dup += line in seen
                         seen.add(line)
                         key = xxhash.xxh3_64_intdigest(" ".join(plain.split()).encode())
                         lines[key] = lines.get(key, 0) + n
+                        places.setdefault(key, []).append(i)
                 out["n_dup_lines"].append(dup)
                 out["lines"].append(list(lines))
                 out["line_words"].append(list(lines.values()))
+                out["line_at"].append(list(places.values()))
             arrays = [pa.array(out[k], pa.int64()) for k in names]
-            arrays += [pa.array([(np.array(x, np.uint64).view(np.int64)).tolist() for x in out["lines"]], pa.list_(pa.int64())), pa.array(out["line_words"], pa.list_(pa.int64()))]
+            arrays += [pa.array([(np.array(x, np.uint64).view(np.int64)).tolist() for x in out["lines"]], pa.list_(pa.int64())), pa.array(out["line_words"], pa.list_(pa.int64())), pa.array(out["line_at"], pa.list_(pa.list_(pa.int32())))]
             keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in keep), *arrays], names=[*keep, *names, "lines", "line_words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(lo, hi - lo) for n in keep), *arrays], names=[*keep, *names, "lines", "line_words", "line_at"])
+
+
+def cleaned(text: Column, removed_lines: Column) -> Column:
+    """The text without the lines of these numbers."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(removed_lines, i)), "\n")
 
 
 def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Base figures, base_failed, removed_words and kept of every document of (doc_id, text, <host>)."""
+    """Base figures, base_failed, removed_words, kept and removed_lines (line numbers from 0, for ``cleaned``) of every document of (doc_id, text, <host>)."""
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     key = F.coalesce(F.concat(F.lit("s"), F.col(host).cast("string")), F.lit("n"))
     source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(key).alias("host"), "text")
-    rows = common.save(source.mapInArrow(_measure, f"doc_id long, row long, host long, {names}, lines array<long>, line_words array<long>"), "quality-rows")
-    lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    rows = common.save(source.mapInArrow(_measure, f"doc_id long, row long, host long, {names}, lines array<long>, line_words array<long>, line_at array<array<int>>"), "quality-rows")
+    lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.col("x.line_at").alias("at"))
     hosts = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), max_share * F.count("*")).alias("limit"))
     common_lines = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     common_lines = common_lines.join(hosts, "host").where("n > limit").select("host", "line")
-    removed = lines.join(common_lines, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"))
+    removed = lines.join(common_lines, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed"), F.sort_array(F.flatten(F.collect_list("at"))).alias("removed_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed_words = F.coalesce("removed", F.lit(0)).cast("long")
     ok = F.col("n_words") - removed_words >= keep_share * F.col("n_words")
-    return rows.drop("lines", "line_words").join(removed, "row", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ok).alias("kept"), removed_words.alias("removed_words")
+    return rows.drop("lines", "line_words", "line_at").join(removed, "row", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ok).alias("kept"), removed_words.alias("removed_words"),
+        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"),
     )
 
 

@@ -54,7 +54,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+    return quality.quality(table(spark, sf_dir, "documents", ["doc_id", "text", "source"])).drop("removed_lines")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,16 @@ def test_quality(spark):
     assert got[99].n_words == 0 and got[99].base_failed
 
 
+def test_lines_removed(spark):
+    rows = [(i, f"Menu {i} home\n" + " ".join(f"{chr(97 + i % 26)}{'y' * (i // 26)}x{j}" for j in range(60)) + ("\n\n MENU 4  home\nlast" if i % 2 else ""), "s") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (99, None, None)], "doc_id long, text string, source string")
+    got = quality.quality(docs).join(docs, "doc_id").select("doc_id", "removed_lines", quality.cleaned(docs.text, "removed_lines").alias("text")).collect()
+    for r in got:
+        lines = rows[r.doc_id][1].split("\n") if r.doc_id < 99 else []
+        gone = [i for i, line in enumerate(lines) if "menu" in line.lower()]
+        assert r.removed_lines == gone and r.text == ("\n".join(x for i, x in enumerate(lines) if i not in gone) if lines else None)
+
+
 def test_empty(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     tokenizer = queries.tokenizer_file("word_bpe_49k.json")
