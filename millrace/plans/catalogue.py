@@ -18,6 +18,7 @@ KG_ROWS = [
 CLEAN_ROWS = [(1, "头疼失眠半个月", "心理科学"), (2, "头疼失眠焦虑", "心理科学"), (3, "高血压的诊断标准", "内科"), (4, "肚子疼", "其他"), (5, "咳嗽三天", "内科")]
 MASK_ROWS = [(1, "我是王小明先生，住阳光花园3号楼，电话13800138000"), (2, "中关村路88号"), (3, "113800138000"), (4, "1234567890123456789室"), (5, None)]
 SAFE_ROWS = [(1, "你得了胃炎"), (2, "不能确诊"), (3, "我不想活了"), (4, "")]
+SAFE_WORDS = {"danger": ("suicide", "kill myself", "hurt myself", "want to die", "poison"), "diagnostic": ("you have been diagnosed", "you certainly have", "you must have")}
 SYMPTOM_ROWS = [("感觉异常",), ("血糖升高",), ("神经元凋亡",), ("HbA1c",), ("痛",), ("头晕",)]
 DRUG_ROWS = [("强力脑清素片禁忌症是什么？",), ("平地木的用药禁忌是什么?",), ("饮食禁忌",), ("感冒怎么办",)]
 REVIEW_ROWS = [(1, "approve", "草稿", "摘要", None, "王伟", "内科", "主治医师"), (2, "revise", "草稿", None, "改稿", "李雷", "外科", "主任医师"), (3, "reject", "草稿", None, None, "张三", "儿科", "医师")]
@@ -140,6 +141,10 @@ def safety_flags(spark, d):
     return spark.createDataFrame(SAFE_ROWS, "id long, text string").select("id", F.array_join(T.safety_flags(F.col("text")), ",").alias("flags"))
 
 
+def safety_flags_documents(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.array_join(T.safety_flags(F.lower("text"), **SAFE_WORDS), ",").alias("flags"))
+
+
 def symptom_validity(spark, d):
     return spark.createDataFrame(SYMPTOM_ROWS, "name string").select("name", T.valid_symptom(F.col("name")).alias("valid"))
 
@@ -173,6 +178,19 @@ def _star(spark, d):
     return t.withColumn("first_seq", F.concat_ws("|", "pred", "head", "tail"))
 
 
+def kg_triples_star(spark, d):
+    return _star(spark, d).select("head", "pred", "tail", "cnt")
+
+
+def kg_nodes_star(spark, d):
+    """A name has one type here, whichever triple comes first."""
+    return graph.nodes(_star(spark, d).withColumn("first_seq", F.lit(0).cast("long")))
+
+
+def kg_stats_star(spark, d):
+    return graph.stats(_star(spark, d))
+
+
 def kg_two_hop(spark, d):
     tr = _star(spark, d)
     return graph.two_hop(tr, tr.where("pred = 'symptom_of'").select(F.col("head").alias("start")).distinct(), branch=3)
@@ -225,6 +243,8 @@ _TOK = """tk as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as
 sz as (select count(*) as n, avg(len(t)) as avgdl from tk), ra as (select tok, count(*) as df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from p, sz group by tok),
 id as (select tok, df, case when raw < 0 then 0.25 * (select avg(raw) from ra) else raw end as idf from ra)"""
 _BM = _TOK + f""", bm as (select doc_id, score, row_number() over (order by score desc, doc_id) as rank from (select doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from p join id using (tok), sz where tok in ({', '.join(f"'{t}'" for t in TERMS)}) group by 1) order by 3 limit 20)"""
+_STAR = """li as (select p_brand, p_name, l_suppkey::varchar as supp from lineitem join part on l_partkey = p_partkey),
+t as (select p_brand as head, 'symptom_of' as pred, p_name as tail, count(*) as cnt from li group by 1, 2, 3 union all select p_name, 'has_drug', supp, count(*) from li group by 1, 2, 3)"""
 _ANY = lambda words: "|".join(w.replace("(", "\\(") for w in words)
 _EV = "user_id order by ts, event_id"
 
@@ -251,7 +271,11 @@ def oracle_sql() -> dict[str, str]:
         "cleaning_report": "select lang, count(*) as scanned, count(*) filter (regexp_matches(text, 'license|License')) as filtered from documents group by 1",
         "pii_mask_documents": "select doc_id, md5(regexp_replace(m, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]+', '***', 'g')) as masked_md5, coalesce(len(regexp_extract_all(text, '[0-9]{16}')) + len(regexp_extract_all(m, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z]+')), 0)::bigint as hits from (select doc_id, text, regexp_replace(text, '[0-9]{16}', '***', 'g') as m from documents)",
         "safety_flags": f"select id::bigint as id, concat_ws(',', case when regexp_matches(text, '{_ANY(T.DANGER)}') then '危险信号' end, case when regexp_matches(text, '{_ANY(T.DIAGNOSTIC)}') then '诊断性表述' end) as flags from {_values(SAFE_ROWS, 'id, text')}",
+        "safety_flags_documents": f"select doc_id, concat_ws(',', case when regexp_matches(lower(text), '{_ANY(SAFE_WORDS['danger'])}') then '危险信号' end, case when regexp_matches(lower(text), '{_ANY(SAFE_WORDS['diagnostic'])}') then '诊断性表述' end) as flags from documents",
         "symptom_validity": f"select name, length(name) between 2 and 12 and not regexp_matches(name, '[A-Za-z0-9≥≤><%.．/+°℃()（）~～=＝-]') and (name in ('感觉异常', '行为异常', '月经异常') or not regexp_matches(name, '{_ANY(T.PATHOLOGY_WORDS)}|({_ANY(T.BAD_SYMPTOM_SUFFIXES)})$')) as valid from {_values(SYMPTOM_ROWS, 'name')}",
+        "kg_triples_star": f"with {_STAR} select head, pred, tail, cnt from t",
+        "kg_nodes_star": f"with {_STAR} select name, type, sum(cnt)::bigint as count, sum(indeg)::bigint as symptom_indegree from (select head as name, case pred when 'symptom_of' then 'symptom' else 'disease' end as type, cnt, 0 as indeg from t union all select tail, case pred when 'symptom_of' then 'disease' else 'drug' end, cnt, (pred = 'symptom_of')::int from t) group by 1, 2",
+        "kg_stats_star": f"with {_STAR} select pred, count(*) as triples, count(distinct head) as heads, count(distinct tail) as tails, sum(cnt)::bigint as instances from t group by 1",
         "kg_two_hop": "with li as (select p_brand, p_name, l_suppkey from lineitem join part on l_partkey = p_partkey), s as (select p_brand as head, p_name as tail, count(*) as cnt from li group by 1, 2), g as (select p_name as head, l_suppkey::varchar as tail, count(*) as cnt from li group by 1, 2), ind as (select tail, count(*) as i from s group by 1), h as (select head as start, s.tail as disease, round(cnt / (1 + 0.5 * ln(1 + i)), 6) as score, row_number() over (partition by head order by round(cnt / (1 + 0.5 * ln(1 + i)), 6) desc, s.tail) as place from s join ind on s.tail = ind.tail) select start, disease, score, place, 'has_drug' as relation, name, cnt from (select h.*, g.tail as name, g.cnt, row_number() over (partition by start, disease order by g.cnt desc, g.tail) as r from h join g on g.head = disease where place <= 3) where r <= 3",
         "kg_two_hop_defaults": "with li as (select p_brand, p_name, l_suppkey from lineitem join part on l_partkey = p_partkey), s as (select p_brand as head, p_name as tail, count(*) as cnt from li group by 1, 2), g as (select p_name as head, l_suppkey::varchar as tail, count(*) as cnt from li group by 1, 2), ind as (select tail, count(*) as i from s group by 1), h as (select head as start, s.tail as disease, round(cnt / (1 + 0.5 * ln(1 + i)), 6) as score, row_number() over (partition by head order by round(cnt / (1 + 0.5 * ln(1 + i)), 6) desc, s.tail) as place from s join ind on s.tail = ind.tail) select start, disease, score, place, 'has_drug' as relation, name, cnt from (select h.*, g.tail as name, g.cnt, row_number() over (partition by start, disease order by g.cnt desc, g.tail) as r from h join g on g.head = disease where place <= 5) where r <= 20",
         "cascade_lookup": f"with n as (select distinct p_name as name from part), c as (select query, name, case when trim(name) = trim(query) then 1 when contains(name, query) then 2 when contains(query, name) then 3 end as tier from n, {_values([(q,) for q in LOOKUPS], 'query')}), m as (select *, min(tier) over (partition by query) as l from c where tier is not null) select query, tier::bigint as tier, name, n_hits from (select query, tier, name, count(*) over (partition by query) as n_hits, row_number() over (partition by query order by name) as r from m where tier = l) where r <= 5",
@@ -267,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
         triage_vote, knn_topk, prior_distribution, label_examples, consult_filtered_knn, bm25_stats, bm25_search, rrf_fusion, rrf_fusion_queries, retrieval_eval, judge_summary,
-        balanced_sample, head_sample, truncate_documents, label_balance, cleaning, cleaning_report, pii_mask, pii_mask_documents, safety_flags, symptom_validity,
-        drug_candidates, kg_triples, kg_nodes, kg_stats, kg_two_hop, kg_two_hop_defaults, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_decision, audit_timeline,
+        balanced_sample, head_sample, truncate_documents, label_balance, cleaning, cleaning_report, pii_mask, pii_mask_documents, safety_flags, safety_flags_documents, symptom_validity,
+        drug_candidates, kg_triples, kg_nodes, kg_stats, kg_triples_star, kg_nodes_star, kg_stats_star, kg_two_hop, kg_two_hop_defaults, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_decision, audit_timeline,
     )
     return {f.__name__: f for f in fs}

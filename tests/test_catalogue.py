@@ -58,6 +58,16 @@ def test_two_hop_defaults(spark, con):
     assert all(len(v) == tails[k[1]] for k, v in found.items()) and max(map(len, found.values())) > 3
 
 
+def test_whole_tables(spark, con, tmp_path):
+    texts = [(1, "They WANT to die"), (2, "you certainly have a cold, so said the suicide note"), (3, "fine"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.flags for r in catalogue.queries()["safety_flags_documents"](spark, f"file://{tmp_path}").collect()}
+    assert got == {1: "危险信号", 2: "危险信号,诊断性表述", 3: "", 4: ""}
+    n = con.sql("select count(*) from lineitem").fetchall()[0][0]
+    assert {r.pred: r.instances for r in catalogue.queries()["kg_stats_star"](spark, SF).collect()} == {"symptom_of": n, "has_drug": n}
+    assert sum(r["count"] for r in catalogue.queries()["kg_nodes_star"](spark, SF).collect()) == 4 * n
+
+
 def test_masks(spark):
     got = {r.id: (r.masked, r.hits) for r in catalogue.pii_mask(spark, SF).collect()}
     assert got[1] == ("我是***，******，电话***", 4) and got[2] == ("中关村***", 1) and got[3] == ("113800138000", 0) and got[5] == (None, 0)
