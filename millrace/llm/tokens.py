@@ -84,6 +84,9 @@ class Codec:
         A full cache starts again with what the text at hand needs."""
         if len(self.chunks) + len(new) > CACHE_ENTRIES:
             self.chunks = {c: v for c in needed if (v := self.chunks.get(c)) is not None}
+        self._learn_pieces(new)
+
+    def _learn_pieces(self, new: set[str]) -> None:
         cache = self.chunks
         prefix, findall = self.prefix, self.findall
         pieces = [findall(prefix + c) for c in new]
@@ -108,11 +111,40 @@ class IdEncoder(Codec):
 
     def __init__(self, path: str):
         super().__init__(path, _BYTE_SPLIT, " ")
+        self.tails: dict[str, bytes] = {}
         self.code, self.dtype = ("H", "<u2") if self.whole.get_vocab_size() <= 65536 else ("I", "<u4")
 
     def value(self, tokens) -> bytes:
         return array(self.code, [t.id for t in tokens]).tobytes()
 
+    def _learn(self, new: set[str], needed: list[str]) -> bool:
+        """As above, with a short way for letters alone and letters with one other character after them: the
+        letters with the space before them are one pre-token, and what follows is another. False if a chunk
+        begins or ends with white space, where the cut at spaces doesn't agree with the library's."""
+        if len(self.chunks) + len(new) > CACHE_ENTRIES:
+            self.chunks = {c: v for c in needed if (v := self.chunks.get(c)) is not None}
+        cache, tokenize, value, rest, tails = self.chunks, self.model.tokenize, self.value, [], self.tails
+        for c in new:
+            if c.isalpha():
+                word, tail = c, b""
+            elif (word := c[:-1]).isalpha():
+                if (tail := tails.get(c[-1])) is None:
+                    if _EDGE.search(c):
+                        return False
+                    tail = tails[c[-1]] = value(tokenize(_visible(c[-1])))
+            else:
+                rest.append(c)
+                continue
+            if (ids := cache.get(word)) is None:
+                ids = cache[word] = value(tokenize("\u0120" + word if word.isascii() else _visible(" " + word)))
+            if tail:
+                cache[c] = ids + tail
+        if any(map(_EDGE.search, rest)):
+            return False
+        if rest:
+            self._learn_pieces(set(rest))
+        return True
+
     def _slow(self, text: str) -> bytes:
         return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -133,9 +165,8 @@ class IdEncoder(Codec):
         except KeyError:
             cache = self.chunks
             new = {c for c in chunks if c not in cache}
-            if any(map(_EDGE.search, new)):
+            if not self._learn(new, chunks):
                 return self._slow(text)
-            self._learn(new, chunks)
             rest = b"".join(map(self.chunks.__getitem__, chunks))
         return self._first(first) + rest
 
