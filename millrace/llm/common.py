@@ -1,16 +1,17 @@
 """Shared helpers of the training-data operators: scratch tables, word hashing, components.
 
 Everything that has to outlive a stage goes to the folder named by ``spark.checkpoint.dir``
-(through Spark's own writers, so any Hadoop file system works); only when that setting is absent,
-as in tests, a folder of our own is used.
+(through Spark's own writers, so any Hadoop file system works); only when that setting is absent and
+the master is a single local JVM, as in tests, a folder of our own is used.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
@@ -59,6 +62,28 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy() -> None:
+    """Give a worker's free memory back to the system, as workers live on after their task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
+def arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(fn, schema)``; the worker is tidied up after each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
+
+
 def free(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files of plans that nobody refers to any more."""
     gc.collect()
@@ -81,7 +106,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def buckets(df: DataFrame, each: int = 8 << 20) -> int:
     """A number of partitions for what is derived from ``df``: the session's, or more for large input."""
-    return int(min(65_535, max(partitions(df.sparkSession), input_bytes(df) // each if input_bytes(df) < 1 << 60 else 0)))
+    return int(min((1 << 31) - 1, max(partitions(df.sparkSession), input_bytes(df) // each if input_bytes(df) < 1 << 60 else 0)))
 
 
 class Packer:
@@ -90,7 +115,7 @@ class Packer:
 
     SCHEMA = "bucket int, data binary"
 
-    def __init__(self, dtype: np.dtype, n_buckets: int, most: int = 64 << 20):
+    def __init__(self, dtype: np.dtype, n_buckets: int, most: int = 16 << 20):
         self.dtype, self.n, self.most, self.held, self.size = dtype, n_buckets, most, [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -109,21 +134,21 @@ class Packer:
         self.held, self.size = [], 0
         if not len(records):
             return
-        bucket = (records[self.dtype.names[0]] % U64(self.n)).astype(np.uint16)
+        bucket = (records[self.dtype.names[0]] % U64(self.n)).astype(np.uint16 if self.n <= 65_536 else np.int32)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.n + 1))
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         put = zstandard.ZstdCompressor(level=1).compress
-        names, blobs = [], []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            part = records[order[cuts[b] : cuts[b + 1]]]
+        names, blobs = bucket[starts].tolist(), []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+            part = records[order[a:b]]
             # byte planes: ids and places, which rise slowly, shrink; hashes stay as they are
-            names.append(b)
             blobs.append(put(np.ascontiguousarray(part.view(np.uint8).reshape(len(part), -1).T).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
 
-def unpack(df: DataFrame, dtype: np.dtype, fn, schema: str) -> DataFrame:
-    """``fn(records)`` over all records of each bucket of packed blobs; it yields record batches of ``schema``."""
+def unpack(df: DataFrame, dtype: np.dtype, fn, schema: str, n_buckets: int = 0) -> DataFrame:
+    """``fn(records)`` over all records of each of ``n_buckets`` buckets of packed blobs; it yields record batches of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -144,8 +169,8 @@ def unpack(df: DataFrame, dtype: np.dtype, fn, schema: str) -> DataFrame:
         if held:
             yield from fn(records(held))
 
-    n = max(partitions(df.sparkSession), 1)
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    n = max(partitions(df.sparkSession), n_buckets)
+    return arrow(df.repartition(n, "bucket").sortWithinPartitions("bucket"), run, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -80,18 +80,56 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 50)])
-def test_jaccard(docs, rows, k, num):
-    sets = {r[0]: shingles(r[1], k) for r in rows if r[0] is not None}
-    group = {d: d for d in sets}
-    for _ in sets:
-        for a, x in sets.items():
-            for b, y in sets.items():
+def components(rows, k, num):
+    """doc_id: (set sizes, component) by brute force; rows with one id are one document."""
+    sets = [(r[0], shingles(r[1], k)) for r in rows if r[0] is not None]
+    group = {d: d for d, _ in sets}
+    for _ in group:
+        for a, x in sets:
+            for b, y in sets:
                 if x and y and 100 * len(x & y) >= num * len(x | y):
                     group[a] = group[b] = min(group[a], group[b])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, k, num, 100).collect()}
-    assert got.pop(None) == (0, None)
-    assert got == {d: (len(s), group[d]) for d, s in sets.items()}
+    return sorted((d, len(s), group[d]) for d, s in sets)
+
+
+def joined(df, k, num):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, k, num, 100).collect()]
+    assert [r for r in got if r[0] is None] == [(None, 0, None)]
+    return sorted(r for r in got if r[0] is not None)
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (2, 50)])
+def test_jaccard(docs, rows, k, num):
+    assert joined(docs, k, num) == components(rows, k, num)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_of_large_groups(spark, monkeypatch, rounds):
+    """Chains of near copies over several tasks; rows with one id and different texts."""
+    rng, rows, text = random.Random(5), [(None, None)], []
+    for i in range(60):
+        if i % 20 == 0:
+            text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        text = text[:]
+        text[rng.randrange(60)] = f"x{i}"
+        rows.append((100 + i, " ".join(text)))
+    rows += [(5, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (9, "g h i j k l"), (3, rows[30][1]), (3, "g h i j k l"), (4, rows[10][1]), (4, rows[50][1])]
+    monkeypatch.setattr(jaccard_join, "REGION", 150)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 2, 70) == components(rows, 2, 70)
+
+
+def test_bitmaps():
+    """No pair that reaches the threshold is told apart; most others are."""
+    rng = np.random.default_rng(2)
+    base, apart = rng.integers(0, 1 << 60, (20, 400)).astype(np.uint64), 0
+    for b in base:
+        x, y = np.unique(b), np.unique(np.concatenate([b[: rng.integers(330, 400)], rng.integers(0, 1 << 60, rng.integers(0, 40)).astype(np.uint64)]))
+        c = len(np.intersect1d(x, y))
+        label = jaccard_join.fitting(np.array([len(x), len(y), 390]), [*map(jaccard_join.bitmap, (x, y, rng.integers(0, 1 << 60, 390).astype(np.uint64)))], 85, 100)
+        assert label[0] == label[1] or 100 * c < 85 * (len(x) + len(y) - c)
+        apart += label[2] != label[0]
+    assert apart == 20
 
 
 def test_region_by_cells():
