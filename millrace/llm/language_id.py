@@ -4,14 +4,19 @@ The kernel of two texts is the blended-spectrum presence kernel: the number of d
 n-grams, n = 1 to 4, that both have, over the root of the product of how many each has. N-grams
 are hashed to ``2 ** BITS`` places. Landmarks (Nyström) are labelled texts taken evenly from every
 language; a text is described by its kernel values with them, whitened by the landmarks' own
-kernel matrix, and one ridge regression per language against the rest gives its scores. Texts are
-scored in batches by matrix products. A score is the softmax of the regressions' outputs.
-
-The model is fitted on a bounded sample: for each of at most ``LANGS`` languages about ``PER_LANG``
-labelled training documents of least id hash, the first ``TRAIN_CHARS`` characters of each. All
-documents are scored over their whole texts. Null texts and texts without a letter are ``und`` with
-score 0, as is everything if there is no labelled text. Repeated rows are scored one by one; an
-empty table gives no rows.
+kernel matrix, and one ridge regression per language against the rest gives its scores. As all of
+that is linear in the n-grams, a batch of texts is scored by one product of its (sparse) presence
+matrix with a matrix of places by languages. A score is the softmax of the regressions' outputs.
+
+The model is fitted on a bounded sample of labelled rows, whole texts: about ``PER_LANG`` of each
+language by the hash of id and text, of which ``LANDMARKS_PER_LANG`` are landmarks (fewer, at least
+two, where that would make over ``LANDMARKS`` in all). Their n-grams are taken on the executors; the
+driver gets the landmarks' places and a row of kernel values of each sampled text. Every language met is learned.
+
+All documents are scored over their whole texts, however long. Null texts and texts without a letter
+are ``und`` with score 0, as is everything if there is no labelled text. Ties go to the language that
+comes first by code point. Repeated rows are scored one by one, and count once in the sample; a null
+doc_id is like others. Columns named lang_pred or score are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,98 +28,145 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, ORDERS = 13, (1, 2, 3, 4)
-LANGS, PER_LANG, TRAIN_CHARS, LANDMARKS_PER_LANG, RIDGE = 100, 300, 4_000, 40, 1e-3
+from . import common
+
+BITS, ORDERS = 18, (1, 2, 3, 4)
+PER_LANG, LANDMARKS_PER_LANG, LANDMARKS, RIDGE = 300, 40, 640, 1e-3
 UNKNOWN = "und"
 
 
-def presence(texts: list[bytes], out: np.ndarray) -> None:
-    """Marks the places of every text's n-grams in its row of ``out`` and scales the row to length 1."""
-    out[:] = 0
-    for row, text in zip(out, texts, strict=True):
-        a = np.frombuffer(text, np.uint8).astype(np.uint32)
-        code = np.zeros(len(a), np.uint32)
-        for n in range(1, max(ORDERS) + 1):
-            if len(a) < n:
-                break
-            code = code[: len(a) - n + 1] * np.uint32(0x01000193) + a[n - 1 :]
-            if n in ORDERS:
-                row[((code * np.uint32(0x9E3779B1)) ^ np.uint32(n * 0x5BD1)) >> np.uint32(32 - BITS)] = 1
-        total = row.sum()
-        if total:
-            row /= np.sqrt(total)
+class Presence:
+    """The places of texts' n-grams."""
+
+    def __init__(self):
+        self.flag = np.zeros(1 << BITS, bool)
+
+    def places(self, text: str) -> np.ndarray:
+        a = np.frombuffer(text.lower().encode(), np.uint8)
+        for at in range(0, len(a), 1 << 20):
+            part = a[at : at + (1 << 20) + max(ORDERS) - 1].astype(np.uint32)
+            code = np.zeros(len(part), np.uint32)
+            for n in range(1, max(ORDERS) + 1):
+                if len(part) < n:
+                    break
+                code = code[: len(part) - n + 1] * np.uint32(0x01000193) + part[n - 1 :]
+                if n in ORDERS:
+                    self.flag[((code * np.uint32(0x9E3779B1)) ^ np.uint32(n * 0x5BD1)) >> np.uint32(32 - BITS)] = True
+        out = np.flatnonzero(self.flag)
+        self.flag[out] = False
+        return out
+
+
+class Landmarks:
+    """Places of some texts, by place; ``kernel`` gives a text's kernel values with them."""
+
+    def __init__(self, places: list[np.ndarray]):
+        self.size = np.fromiter(map(len, places), np.int64, len(places))
+        who, flat = np.repeat(np.arange(len(places)), self.size), np.concatenate(places)
+        order = np.argsort(flat, kind="stable")
+        self.who = who[order].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=1 << BITS))])
+
+    def kernel(self, places: np.ndarray) -> np.ndarray:
+        first, n = self.start[places], np.diff(self.start)[places]
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.bincount(self.who[at], minlength=len(self.size)) / np.sqrt(np.maximum(1, self.size * len(places)))
 
 
 class Kernels:
-    """A fitted model; ``scores`` gives softmax scores of byte texts over ``langs``."""
+    """A fitted model; ``scores`` gives softmax scores of texts' places over ``langs``."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, landmarks: list[np.ndarray], values: np.ndarray, langs: list[str]):
+        """From the landmarks' places, and the kernel values and languages of the sampled texts."""
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        x = np.zeros((len(texts), 1 << BITS), np.float32)
-        presence([t.lower().encode() for t in texts], x)
+        known = Landmarks(landmarks)
         y = np.array([self.langs.index(lang) for lang in langs])
-        chosen = np.sort(np.concatenate([np.flatnonzero(y == k)[:LANDMARKS_PER_LANG] for k in range(len(self.langs))]))
-        landmarks = x[chosen]
-        value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+        value, vector = np.linalg.eigh(np.stack([known.kernel(p) for p in landmarks]))
         good = value > 1e-6 * value[-1]
-        whiten = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
-        features = x @ (landmarks.T @ whiten)
+        whiten = vector[:, good] / np.sqrt(value[good])
+        features = values.astype(np.float64) @ whiten
         mean = features.mean(0)
-        z = (features - mean).astype(np.float64)
+        z = features - mean
         # classes weigh alike, however many texts stand for them
         weight = (1 / np.bincount(y))[y]
         target = np.where(y[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
         base = (weight[:, None] * target).sum(0) / weight.sum()
         a = (z * weight[:, None]).T @ z + RIDGE * np.eye(z.shape[1])
         beta = np.linalg.solve(a, (z * weight[:, None]).T @ (target - base))
-        self.project = (landmarks.T @ whiten @ beta).astype(np.float32)
-        self.base = (base - mean.astype(np.float64) @ beta).astype(np.float32)
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        s = 4 * (x @ self.project + self.base)
+        self.project = np.zeros((1 << BITS, len(self.langs)), np.float32)
+        for p, row in zip(landmarks, whiten @ beta, strict=True):
+            self.project[p] += (row / np.sqrt(max(1, len(p)))).astype(np.float32)
+        self.base = (base - mean @ beta).astype(np.float32)
+
+    def scores(self, places: list[np.ndarray]) -> np.ndarray:
+        """One sparse product for the batch. Every text has a place."""
+        n = np.fromiter(map(len, places), np.int64, len(places))
+        total = np.add.reduceat(self.project[np.concatenate(places)], np.cumsum(n) - n, axis=0)
+        s = 4 * (total / np.sqrt(n)[:, None] + self.base)
         e = np.exp(s - s.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
 
 def fit(labelled: DataFrame) -> Kernels:
     """A model of (doc_id, text, lang), on the bounded sample described above."""
-    has = labelled.where("text is not null and lang is not null and text <> ''")
-    counts = has.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    # a document is in if its id hash is below its language's share: a map over the rows, no shuffle of texts
-    shares = {r["lang"]: min(1.0, PER_LANG / r["count"]) for r in counts}
-    if not shares:
-        return Kernels([], [])
-    share = F.try_element_at(F.create_map(*[F.lit(v) for kv in shares.items() for v in kv]), F.col("lang"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6
-    rows = has.where(place < share).select("doc_id", "lang", F.left("text", F.lit(TRAIN_CHARS)).alias("text")).limit(4 * LANGS * PER_LANG).collect()
-    rows = sorted(rows, key=lambda r: (r.lang, str(r.doc_id), r.text))
-    return Kernels([r.text for r in rows], [r.lang for r in rows])
+    spark = labelled.sparkSession
+    has = labelled.where("text is not null and lang is not null and text <> ''").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = {r["lang"]: r["count"] for r in has.groupBy("lang").count().collect()}
+    if not counts:
+        return Kernels([], np.zeros((0, 0)), [])
+
+    def sample(each: int) -> DataFrame:
+        # a row is in if its hash is below its language's share: a map over the rows, no shuffle of others' texts
+        share = F.try_element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))]), F.col("lang"))
+        return has.where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < share).dropDuplicates(["lang", "h"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        presence = Presence()
+        for batch in (whole.slice(lo, 64) for whole in batches for lo in range(0, whole.num_rows, 64)):
+            found = [presence.places(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.list_(pa.int32()))], names=["lang", "h", "places"])
+
+    each = max(2, min(LANDMARKS_PER_LANG, LANDMARKS // len(counts)))
+    rows = sorted(common.arrow(sample(each), places, "lang string, h long, places array<int>").collect(), key=lambda r: (r.lang, r.h))
+    if not rows:  # of few texts, no hash may be below the share
+        rows = sorted(common.arrow(sample(max(counts.values())), places, "lang string, h long, places array<int>").limit(LANDMARKS).collect(), key=lambda r: (r.lang, r.h))
+    landmarks = [np.array(r.places, np.int64) for r in rows]
+    given = spark.sparkContext.broadcast(landmarks)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        presence, known = Presence(), Landmarks(given.value)
+        for batch in (whole.slice(lo, 64) for whole in batches for lo in range(0, whole.num_rows, 64)):
+            found = [known.kernel(presence.places(t)).astype(np.float32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.list_(pa.float32()))], names=["lang", "h", "k"])
+
+    rows = sorted(common.arrow(sample(PER_LANG), values, "lang string, h long, k array<float>").collect(), key=lambda r: (r.lang, r.h))
+    return Kernels(landmarks, np.array([r.k for r in rows], np.float32), [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Kernels) -> DataFrame:
     """``docs`` with lang_pred and score added; every other column is carried along."""
     model = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        letter, m, x = regex.compile(r"\p{L}"), model.value, np.zeros((256, 1 << BITS), np.float32)
-        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
+        letter, m, presence = regex.compile(r"\p{L}"), model.value, Presence()
+        for batch in (whole.slice(lo, 128) for whole in batches for lo in range(0, whole.num_rows, 128)):
             texts = batch.column(at).to_pylist()
-            ok = [bool(t) and letter.search(t) is not None and bool(m.langs) for t in texts]
-            if m.langs:
-                presence([t.lower().encode() if k else b"" for t, k in zip(texts, ok, strict=True)], x[: len(texts)])
-                s = m.scores(x[: len(texts)])
-                best = s.argmax(1)
-            langs = [m.langs[best[i]] if k else UNKNOWN for i, k in enumerate(ok)]
-            scores = [float(s[i, best[i]]) if k else 0.0 for i, k in enumerate(ok)]
+            ok = [i for i, t in enumerate(texts) if t and m.langs and letter.search(t)]
+            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            if ok:
+                s = m.scores([presence.places(texts[i]) for i in ok])
+                for i, best, row in zip(ok, s.argmax(1).tolist(), s, strict=True):
+                    langs[i], scores[i] = m.langs[best], float(row[best])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return common.arrow(docs, run, f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,6 +179,3 @@ def languages(docs: DataFrame) -> DataFrame:
     fold = held_out(F.col("doc_id"))
     model = fit(docs.where(~fold).select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", fold.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
-
-
-
