@@ -7,12 +7,14 @@ a suffix array, the Burrows-Wheeler transform and its wavelet tree; all windows
 at once by ranks, their occurrences located by walking to the next sampled suffix position, and the
 spans merged per document.
 
-A benchmark is searched in blocks of at most ``BLOCK_WORDS`` words, one after another in the same
-pass over the documents, so that a worker's table of windows is bounded.
+A benchmark is searched in blocks of about ``BLOCK_WORDS`` words (one item at least). The driver and
+each worker hold one block at a time: with more than one, a pass over the documents each, the hits so far being saved between them.
 
 Null and empty texts have no words. Items without words match nothing; several items with one id
-count as one in the digest. Repeated documents are treated one by one. Empty tables give no rows,
-or no hits. Items without an id are searched under the empty id.
+count as one in the digest. Repeated documents are treated one by one, rows with one id or none too. A text
+longer than a shard is a shard of its own, searched whole. Overlapping and equal occurrences merge, so ties don't
+matter. Only the named columns are read; those to keep must not be called as the results are. Empty tables give
+no rows, or no hits. Items without an id are searched under the empty id.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a window; words of a benchmark block; bytes of text of a shard; distance of sampled suffix positions.
-WINDOW, BLOCK_WORDS, SHARD, SAMPLE = 10, 2_000_000, 6 << 20, 8
+WINDOW, BLOCK_WORDS, SHARD, SAMPLE = 10, 2_000_000, 2 << 20, 8
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -173,15 +175,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     sc = docs.sparkSession.sparkContext
     found = docs.select("doc_id", *keep, "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     schema = found.schema
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, window)] or [sc.broadcast(Windows([], window))]
+    kept = ["doc_id", *keep, *(["text"] if keep_text else [])]
+    result = ", ".join(f"`{n}` {schema[n].dataType.simpleString()}" for n in kept) + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>"
 
-    def search(block):
+    def search(block, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                sizes = whole.column("text").to_pylist()
-                for lo, hi in common.sliced((t or "" for t in sizes), SHARD):
+            for whole in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+                texts = whole.column("text").to_pylist()
+                for lo, hi in common.sliced((t or "" for t in texts), SHARD):
                     batch = whole.slice(lo, hi - lo)
-                    tokens = [words(t) for t in sizes[lo:hi]]
+                    tokens = [words(t) for t in texts[lo:hi]]
                     doc, at, which = block.value.occurrences(tokens)
                     hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
                     order = np.argsort(doc, kind="stable")
@@ -190,30 +193,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                         spans = np.stack([at[part], at[part] + block.value.lengths[which[part]]], 1)
                         hits[d] = (hits[d] or b"") + spans.astype("<i8").tobytes()
                         items[d] = sorted({*(items[d] or ()), *(n for w in set(which[part].tolist()) for n in block.value.names[w])})
-                    put = {"n_words": pa.array(list(map(len, tokens)), pa.int64()), "hits": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
-                    yield pa.RecordBatch.from_arrays([put.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+                    put = {"n_words": pa.array(list(map(len, tokens)), pa.int64())}
+                    if last:
+                        merged = [merge(np.frombuffer(h, "<i8").reshape(-1, 2)) if h else [] for h in hits]
+                        n_hit, items = [sum(b - a for a, b in m) for m in merged], [i or [] for i in items]
+                        put |= {n: batch.column(n) for n in kept} | {"n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(list(map(len, items)), pa.int64())}
+                        put |= {"items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), "contaminated": pa.array([n > 0 for n in n_hit])}
+                        put["spans"] = pa.array([[list(s) for s in m] for m in merged], pa.list_(pa.list_(pa.int64())))
+                        names = [*kept, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+                    else:
+                        put |= {"hits": pa.array(hits, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}
+                        names = batch.schema.names
+                    yield pa.RecordBatch.from_arrays([put[n] if n in put else batch.column(n) for n in names], names=names)
 
         return run
 
-    for block in blocks:
-        found = found.mapInArrow(search(block), schema)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            merged = [merge(np.frombuffer(h, "<i8").reshape(-1, 2)) if h else [] for h in batch.column("hits").to_pylist()]
-            items = [sorted(i or ()) for i in batch.column("items").to_pylist()]
-            n_hit = [sum(b - a for a, b in m) for m in merged]
-            columns = {n: batch.column(n) for n in ("doc_id", *keep, *(["text"] if keep_text else []), "n_words")}
-            columns |= {"n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(list(map(len, items)), pa.int64())}
-            columns |= {"items_sha256": pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), "contaminated": pa.array([n > 0 for n in n_hit])}
-            columns["spans"] = pa.array([[list(s) for s in m] for m in merged], pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) if keep else ""
-    if keep_text:
-        kept += "text string, "
-    kind = schema["doc_id"].dataType.simpleString()
-    return (found if keep_text else found.drop("text")).mapInArrow(finish, f"doc_id {kind}, {kept}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
+    blocks = _blocks(benchmark, window)
+    block = sc.broadcast(next(blocks, None) or Windows([], window))
+    for after in blocks:
+        found = common.save(common.arrow(found, search(block, False), schema), "contamination")
+        block.destroy()
+        block = sc.broadcast(after)
+    return common.arrow(found, search(block, True), result)
 
 
 def merge(spans: np.ndarray) -> list[tuple[int, int]]:
