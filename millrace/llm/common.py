@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,12 +111,14 @@ def buckets(df: DataFrame, each: int = 8 << 20) -> int:
 
 class Packer:
     """Collects records in a task and hands them out as one blob per bucket, so that millions of small
-    records cross the shuffle as few rows. A record's bucket comes of its first field, a 64-bit hash."""
+    records cross the shuffle as few rows. A record's bucket comes of its first field, a 64-bit hash,
+    or of the hash of its document (field doc), as ``doc_bucket`` gives it."""
 
     SCHEMA = "bucket int, data binary"
 
     def __init__(self, dtype: np.dtype, n_buckets: int, most: int = 16 << 20):
         self.dtype, self.n, self.most, self.held, self.size = dtype, n_buckets, most, [], 0
+        self.by_doc = dtype.names[0] == "doc"
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         records = np.empty(len(columns[0]), self.dtype)
@@ -134,7 +136,8 @@ class Packer:
         self.held, self.size = [], 0
         if not len(records):
             return
-        bucket = (records[self.dtype.names[0]] % U64(self.n)).astype(np.uint16 if self.n <= 65_536 else np.int32)
+        bucket = long_hashes(records["doc"]) % self.n if self.by_doc else records[self.dtype.names[0]] % U64(self.n)
+        bucket = bucket.astype(np.uint16 if self.n <= 65_536 else np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -147,30 +150,50 @@ class Packer:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
 
-def unpack(df: DataFrame, dtype: np.dtype, fn, schema: str, n_buckets: int = 0) -> DataFrame:
+def unpack(df: DataFrame, dtype: np.dtype, fn, schema: str, n_buckets: int) -> DataFrame:
     """``fn(records)`` over all records of each of ``n_buckets`` buckets of packed blobs; it yields record batches of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        get, width = zstandard.ZstdDecompressor().decompress, dtype.itemsize
-
-        def records(blobs: list[bytes]) -> np.ndarray:
-            return np.concatenate([np.ascontiguousarray(np.frombuffer(get(b), np.uint8).reshape(width, -1).T).view(dtype).ravel() for b in blobs])
-
         held, now = [], None
         for batch in batches:
             for name, blob in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if name != now and held:
-                    yield from fn(records(held))
+                    yield from fn(decoded(held, dtype))
                     held = []
                 now = name
                 held.append(blob)
         if held:
-            yield from fn(records(held))
+            yield from fn(decoded(held, dtype))
+
+    return arrow(df.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket"), run, schema)
+
+
+def decoded(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
+    """The records of some blobs."""
+    import zstandard
+
+    get, width = zstandard.ZstdDecompressor().decompress, dtype.itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(get(b), np.uint8).reshape(width, -1).T).view(dtype).ravel() for b in blobs]
+    return np.concatenate([np.zeros(0, dtype), *parts])
+
+
+def rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U64(by)) | (x >> U64(64 - by))
+
+
+def long_hashes(x: np.ndarray) -> np.ndarray:
+    """What ``F.xxhash64`` gives for a long column (XXH64 of eight bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = map(U64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (U64(42) + p5 + U64(8)) ^ (rotated(x.astype(np.int64).view(U64) * p2, 31) * p1)
+        h = rotated(h, 27) * p1 + p4
+        h = (h ^ (h >> U64(33))) * p2
+        h = (h ^ (h >> U64(29))) * p3
+        return (h ^ (h >> U64(32))).view(np.int64)
+
 
-    n = max(partitions(df.sparkSession), n_buckets)
-    return arrow(df.repartition(n, "bucket").sortWithinPartitions("bucket"), run, schema)
+def doc_bucket(doc: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(n)).cast("int")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,10 @@ its suffixes are parted at each depth by the next word, a branch with one suffix
 and followed no farther, and the branches that reach ``length`` words are the deep internal nodes, whose
 leaves are all places of a repeat.
 
-Null and empty texts have no words. A null doc_id counts as one document after all others. Rows
-with one doc_id are the same document, place for place. An empty table gives no rows.
+Null and empty texts have no words. A null doc_id counts as one document after all others, that of id
+2^63 - 1 too. Rows with one doc_id are the same document, place for place; each has its own text's result.
+Ties, and repeated rows, are that. Texts are read whole, however long. Columns other than doc_id and text
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from . import repeats
 
 LENGTH, GRAM = 20, 6
 #: Most suffixes of one subtree.
-SUBTREE = 1_000_000
+SUBTREE = 8_192
 
 
 def prefix_groups(suffixes: np.ndarray, words: np.ndarray, length: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,14 +45,15 @@ def prefix_groups(suffixes: np.ndarray, words: np.ndarray, length: int, most: in
         cuts = np.flatnonzero(np.diff(letter[order])) + 1
         parts = [p for p in np.split(group[order], cuts) if len(p) > 1]
         # small neighbours share a subtree task as they are; they are parted again by its first branching
-        small = [p for p in parts if len(p) <= most]
         todo += [(depth + 1, p) for p in parts if len(p) > most]
-        held: list[np.ndarray] = []
-        for p in small:
-            held.append(p)
-            if sum(map(len, held)) >= most:
-                yield depth, np.concatenate(held)
-                held = []
+        held, n = [], 0
+        for p in parts:
+            if len(p) <= most:
+                held.append(p)
+                n += len(p)
+                if n >= most:
+                    yield depth, np.concatenate(held)
+                    held, n = [], 0
         if held:
             yield depth, np.concatenate(held)
 
@@ -101,32 +104,28 @@ def first_places(length: int):
     return group
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, mark, a, b: ranges of words to remove (they may overlap) of ``repeats.marked`` documents."""
-    found = repeats.reads(docs, repeats.Words(), gram, length, across=False)
-    return repeats.spans(docs, found, repeats.Words(), length, first_places(length), across=False)
-
-
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and spans (word ranges) of every document of (doc_id, text)."""
     docs = repeats.marked(docs)
+    found = repeats.spans(docs, repeats.Words(), gram, length, first_places(length), across=False)
 
-    def finish(batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def finish(rows, spans_of) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
-        for doc, mark, text in zip(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            cuts = repeats.merged(rows[:, repeats.of(rows, doc, mark)], len(words))
+        for row in rows or ():
+            doc, none, _, data = row
+            words = data.split()
+            cuts = repeats.merged(spans_of(row), len(words))
             kept, at = [], 0
             for a, b in cuts:
                 kept += words[at:a]
                 at = b
             kept += words[at:]
-            values = (None if doc == repeats.NULL_DOC else doc, len(words), sum(b - a for a, b in cuts), hashlib.sha256(b" ".join(kept)).hexdigest(), [list(c) for c in cuts])
+            values = (None if none else doc, len(words), sum(b - a for a, b in cuts), hashlib.sha256(b" ".join(kept)).hexdigest(), [list(c) for c in cuts])
             for column, value in zip(out, values, strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3]), pa.array(out[4], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return repeats.beside(docs, covered(docs, length, gram), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>")
+    return repeats.beside(docs, found, repeats._SPAN, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>")
 
 
 SQL = r"""

@@ -9,9 +9,12 @@ from front to back. After the last round one more pass gives the common prefixes
 to ``length``; runs of neighbours that share that much are equal strings, and the least doc_id of a
 run tells which of them to remove.
 
-Null and empty texts have no bytes. A null doc_id counts as one document after all others. Rows
-with one doc_id are the same document, and don't remove each other's strings. Reads are whole
-stretches of whole texts, however long. An empty table gives no rows.
+The files lie in a folder of the task's own, which goes with it; a lost task begins anew.
+
+Null and empty texts have no bytes. A null doc_id counts as one document after all others, that of id
+2^63 - 1 too. Rows with one doc_id are the same document, and don't remove each other's strings; each has
+its own text's result. Ties, and repeated rows, are that. Reads are whole stretches of whole texts, however
+long. Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -104,32 +107,26 @@ def first_documents(length: int):
     return group
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, mark, a, b: ranges of bytes to remove (they may overlap) of ``repeats.marked`` documents."""
-    found = repeats.reads(docs, repeats.Bytes(), gram, length, across=True)
-    return repeats.spans(docs, found, repeats.Bytes(), length, first_documents(length), across=True)
-
-
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every document of (doc_id, text)."""
     docs = repeats.marked(docs)
+    found = repeats.spans(docs, repeats.Bytes(), gram, length, first_documents(length), across=True)
 
-    def finish(batch: pa.RecordBatch, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def finish(rows, spans_of) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], [], []]
-        for doc, mark, text in zip(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = (text or "").encode()
-            cuts = repeats.merged(rows[:, repeats.of(rows, doc, mark)], len(data))
-            kept, at = [], 0
-            for a, b in cuts:
-                kept.append(data[at:a])
+        for row in rows or ():
+            doc, none, _, data = row
+            cuts = repeats.merged(spans_of(row), len(data))
+            kept, at = hashlib.sha256(), 0
+            for a, b in [*cuts, (len(data), len(data))]:
+                kept.update(data[at:a])
                 at = b
-            kept.append(data[at:])
-            values = (None if doc == repeats.NULL_DOC else doc, len(data), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(b"".join(kept)).hexdigest(), [list(c) for c in cuts])
+            values = (None if none else doc, len(data), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest(), [list(c) for c in cuts])
             for column, value in zip(out, values, strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4]), pa.array(out[5], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return repeats.beside(docs, covered(docs, length, gram), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    return repeats.beside(docs, found, repeats._SPAN, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 
 SQL = r"""
