@@ -9,6 +9,10 @@ Sums within a source are taken over 4096 hash ranges of each source: a table of
 every range its offset, so that no task sees more than one range of a source. The border is found in
 the same way over ranges of finish time; only the range that holds it is sorted.
 
+(The mix is the prefix of all entries in order of finish time, as a global range-sort and truncation
+at the budget would give; a range histogram finds the same border without moving the entries.)
+
+Only the named columns are read. Ties of finish time go by queue and place. Long texts count whole.
 Null texts have no words, a null source is a source like others and comes last; documents without
 words are never taken; documents with one id, null ids among them, are told apart by their sizes and
 otherwise interchangeable. An empty table gives no rows; with no words at all every target is 0.
@@ -48,10 +52,15 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return out.withColumn("target", F.when(F.col("capped"), limit.cast("double")).otherwise(F.coalesce(level * F.col("weight"), F.lit(0.0)))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
+def words(text: str) -> Column:
+    """The size of a document."""
+    return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document of (doc_id, text, source)."""
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    size = words("text")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = common.save(docs.select("doc_id", "source", size.alias("size"), key.alias("queue"), order.alias("h")).withColumn("range", F.substring("h", 1, 3)), "mix-sizes")

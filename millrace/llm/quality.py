@@ -91,7 +91,7 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     key = F.coalesce(F.concat(F.lit("s"), F.col(host).cast("string")), F.lit("n"))
     source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(key).alias("host"), "text")
-    rows = common.save(source.mapInArrow(_measure, f"doc_id long, row long, host long, {names}, lines array<long>, line_words array<long>, line_at array<array<int>>"), "quality-rows")
+    rows = common.save(common.arrow(source, _measure, f"doc_id long, row long, host long, {names}, lines array<long>, line_words array<long>, line_at array<array<int>>"), "quality-rows")
     lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"), F.col("x.line_at").alias("at"))
     hosts = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), max_share * F.count("*")).alias("limit"))
     common_lines = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)

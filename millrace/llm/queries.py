@@ -62,10 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
+    from . import pipeline
 
     ops = (op1_token_planes, op2_jaccard_join, op3_fair_mix, op4_suffix_dedup, op5_token_counts, op6_fm_decontaminate, op7_language, op8_licenses, op9_line_frequency, op10_substring_dedup)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

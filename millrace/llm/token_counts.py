@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .tokens import LengthCounter
 
 #: Documents (about) and characters of each sampled for the first tier, entries of the first tier.
@@ -58,5 +59,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), batch.column("n_bytes")], names=["doc_id", "n_tokens", "n_bytes"])
 
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = rows.mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
+    counted = common.arrow(rows, run, "doc_id long, n_tokens long, n_bytes long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

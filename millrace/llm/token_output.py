@@ -121,7 +121,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0, bits: bool =
             yield flush()
 
     n = common.buckets(docs, 64 << 20)
-    return docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SEGMENTS)
+    return common.arrow(docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id"), run, SEGMENTS)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, bits: bool = False) -> None:
@@ -157,7 +157,7 @@ def read(spark, path: str) -> DataFrame:
                     names=["part", "seq", "doc_id", "begin", "n_tokens", "ids_crc32"],
                 )
 
-    rows = segments.select("part", "seq", "doc_ids", "data").mapInArrow(digest, "part int, seq int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    rows = common.arrow(segments.select("part", "seq", "doc_ids", "data"), digest, "part int, seq int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("at") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
