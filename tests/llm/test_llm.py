@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import common, decontaminate, jaccard_join, language_id, licenses, mixing, quality, queries, substring_dedup, suffix_dedup, token_counts, token_output
+from millrace.llm import common, decontaminate, jaccard_join, language_id, licenses, mixing, pipeline, quality, queries, substring_dedup, suffix_dedup, token_counts, token_output
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -26,7 +26,10 @@ def corpus(n=60, seed=1):
             text += "\n" + passage + "  " + " ".join(rng.choices(words, k=3))
         rows.append((i, text, rng.choice(["en", "de", None]), rng.choice(["s1", "s1", "s2", "s3", None]), len(text)))
     rows.append((2000, "é" * 300 + " " + "ab " * 400 + passage, "fr", "s1", 1))
-    return rows + [rows[12]]
+    # the largest id, a null id with a text, one id with two texts, a long text, a repeated row
+    rows += [((1 << 63) - 1, rows[20][1] + " " + passage, "en", "s2", 1), (None, passage + " Ende", "de", None, 2), (8, passage + " the Ende", "de", "s1", 2)]
+    rows.append((3000, " ".join(rng.choices(words, k=6_000)), "en", "s3", 9))
+    return rows + [rows[12], rows[12]]
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +39,8 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame([(*r, "clash", 7) for r in rows], SCHEMA + ", mark string, size long").repartition(3).cache()
+    extra = "mark string, size long, score double, lang_pred string, n_words string, taken string, component_id string, spans string, data string, bucket string"
+    return spark.createDataFrame([(*r, "clash", 7, 0.5, *["clash"] * 7) for r in rows], f"{SCHEMA}, {extra}").repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -49,14 +53,15 @@ def test_token_output(docs, rows):
 
     tk, at, want = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json")), 0, []
     got = [tuple(r) for r in token_output.token_table(docs.select("doc_id", "text"), queries.tokenizer_file("byte_bpe_50k.json"), bits=True).collect()]
-    for doc, text in sorted({(r[0] if r[0] is not None else -1, r[1] or "") for r in rows}) + [(r[0], r[1]) for r in rows[12:13]]:
-        ids = np.array([*tk.encode(text, add_special_tokens=False).ids, 0], "<u4")
-        want.append((None if doc == -1 else doc, len(ids), zlib.crc32(ids.tobytes())))
-    key = lambda r: (r[0] is not None, r[0] or 0)
+    for doc, text, *_ in rows:
+        ids = np.array([*tk.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((doc, len(ids), zlib.crc32(ids.tobytes())))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
     assert sorted([(a, c, d) for a, _, c, d in got], key=key) == sorted(want, key=key)
-    for _, start, n, _ in sorted(got, key=lambda r: r[1]):
-        assert start == at
-        at += n
+    last = -1
+    for doc, start, n, _ in sorted(got, key=lambda r: r[1]):
+        assert start == at and (doc if doc is not None else -1) >= last
+        at, last = at + n, doc if doc is not None else -1
 
 
 def test_planes_round_trip():
@@ -94,7 +99,7 @@ def components(rows, k, num):
 
 def joined(df, k, num):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, k, num, 100).collect()]
-    assert [r for r in got if r[0] is None] == [(None, 0, None)]
+    assert all(r[2] is None for r in got if r[0] is None)
     return sorted(r for r in got if r[0] is not None)
 
 
@@ -155,19 +160,22 @@ def test_mixing(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
 
 
-def test_suffixes(docs, rows):
+@pytest.mark.parametrize(("together", "crowded"), [(16_384, 4), (3, 1)])
+def test_suffixes(docs, rows, together, crowded, monkeypatch):
+    monkeypatch.setattr("millrace.llm.repeats.TOGETHER", together)
+    monkeypatch.setattr("millrace.llm.repeats.CROWDED", crowded)
     where = {}
     for doc, text, *_ in rows:
         data = (text or "").encode()
         for i in range(len(data) - 49):
             s = data[i : i + 50]
-            where[s] = min(where.get(s, 1 << 62), doc if doc is not None else 1 << 61)
+            where[s] = min(where.get(s, 1 << 65), doc if doc is not None else 1 << 64)
     want = []
     for doc, text, *_ in rows:
         data = (text or "").encode()
         cover = np.zeros(len(data), bool)
         for i in range(len(data) - 49):
-            if where[data[i : i + 50]] < (doc if doc is not None else 1 << 61):
+            if where[data[i : i + 50]] < (doc if doc is not None else 1 << 64):
                 cover[i : i + 50] = True
         kept = bytes(b for b, c in zip(data, cover, strict=True) if not c)
         n_spans = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
@@ -184,19 +192,21 @@ def test_column_wise(tmp_path):
     assert [texts[r][len(texts[r]) - n - 1] if n < len(texts[r]) else None for r, n in zip(read, left, strict=True)] == [letters[b - 1] if b else None for b in bwt]
 
 
-@pytest.mark.parametrize("crowded", [50_000, 2])
-def test_substrings(docs, rows, crowded, monkeypatch):
+@pytest.mark.parametrize(("together", "crowded"), [(16_384, 4), (3, 1)])
+def test_substrings(docs, rows, together, crowded, monkeypatch):
+    monkeypatch.setattr("millrace.llm.repeats.TOGETHER", together)
     monkeypatch.setattr("millrace.llm.repeats.CROWDED", crowded)
+    monkeypatch.setattr(substring_dedup, "SUBTREE", 8_192 if together > 3 else 3)
     first = {}
     for doc, text, *_ in rows:
         w = (text or "").encode().split()
         for i in range(len(w) - 19):
-            at = (doc if doc is not None else 1 << 61, i)
+            at = (doc if doc is not None else 1 << 64, i)
             first[tuple(w[i : i + 20])] = min(first.get(tuple(w[i : i + 20]), at), at)
     want = []
     for doc, text, *_ in rows:
         w = (text or "").encode().split()
-        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (doc if doc is not None else 1 << 61, i) for j in range(i, i + 20)}
+        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (doc if doc is not None else 1 << 64, i) for j in range(i, i + 20)}
         want.append((str(doc), len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()) == sorted(want)
 
@@ -216,8 +226,8 @@ def test_decontamination(spark, docs, rows, monkeypatch):
     items = [("a", passage), ("b", "ONE"), ("c", None), ("d", "nothing of the kind"), (None, "w3 w4"), ("a", passage)]
     for block in (2_000_000, 5):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
-        got = {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
-        want = set()
+        got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect())
+        want = []
         for doc, text, *_ in rows:
             w, hit, names = decontaminate.words(text), set(), set()
             for name, item in items:
@@ -227,9 +237,9 @@ def test_decontamination(spark, docs, rows, monkeypatch):
                     for j in range(len(w) - len(s) + 1):
                         if w[j : j + len(s)] == s:
                             hit |= set(range(j, j + len(s)))
-                            names.add(name)
-            want.add((doc, len(w), len(hit), len(names)))
-        assert got == want
+                            names.add(name or "")
+            want.append((str(doc), len(w), len(hit), len(names)))
+        assert got == sorted(want)
 
 
 def test_language(spark):
@@ -239,9 +249,42 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_language_of_odd_texts(docs):
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.languages(docs).collect()}
-    assert got[None] == got[1000] == got[1001] == got[1002] == ("und", 0.0) and got[1003][0] in ("en", "de", "fr")
+def test_language_of_odd_texts(docs, rows):
+    got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in language_id.languages(docs).collect())
+    assert len(got) == len(rows)
+    by_id = {d: (p, x) for d, p, x in got}
+    assert by_id["1000"] == by_id["1001"] == by_id["1002"] == ("und", 0.0) and by_id["1003"][0] in ("en", "de", "fr")
+    assert set(language_id.predict(docs, language_id.fit(docs)).columns) == set(docs.columns)
+
+
+def test_kernels():
+    """Kernel values against sets of n-grams, and scores against the dense formula."""
+    texts = ["der Hund bellt laut", "the dog barks", "el perro ladra", "ein Hund", "a dog", "un perro", "é" * 9]
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)}
+    presence = language_id.Presence()
+    places, sets = [presence.places(t) for t in texts], [grams(t.lower().encode()) for t in texts]
+    assert not presence.flag.any() and [len(p) for p in places] == [len(x) for x in sets]
+    known = language_id.Landmarks(places[:4])
+    values = np.array([known.kernel(p) for p in places])
+    want = [[len(x & y) / (len(x) * len(y)) ** 0.5 for y in sets[:4]] for x in sets]
+    assert np.allclose(values, want)
+    model = language_id.Kernels(places[:4], values[:6], ["de", "en", "es", "de", "en", "es"])
+    scores = model.scores(places)
+    k = np.array(want)
+    for i in range(len(texts)):
+        dense = np.zeros(1 << language_id.BITS)
+        dense[places[i]] = 1 / len(places[i]) ** 0.5
+        s = 4 * (dense @ model.project + model.base)
+        assert np.allclose(scores[i], np.exp(s) / np.exp(s).sum(), atol=1e-5)
+    value, vector = np.linalg.eigh(k[:4])
+    z = (k @ (vector / value**0.5))[:6]
+    y = np.array([0, 1, 2, 0, 1, 2])
+    target = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    w = 1 / np.bincount(y)[y]
+    base, mean = (w[:, None] * target).sum(0) / w.sum(), z.mean(0)
+    beta = np.linalg.solve(((z - mean) * w[:, None]).T @ (z - mean) + language_id.RIDGE * np.eye(4), ((z - mean) * w[:, None]).T @ (target - base))
+    e = np.exp(4 * ((z - mean) @ beta + base))
+    assert np.allclose(scores[:6], e / e.sum(1, keepdims=True), atol=1e-4)
 
 
 def test_licenses(spark):
@@ -352,3 +395,95 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and out.count()
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+rowset = lambda df: sorted(map(repr, map(tuple, df.select(*COLUMNS).collect())))
+wanted = lambda rows: sorted(repr(tuple(r)) for r in rows)
+
+
+def test_stage_language(spark, docs, rows):
+    import regex
+
+    got = pipeline.language(spark, docs, SF)
+    assert got.columns == COLUMNS and rowset(got) == wanted(r for r in rows if r[1] and regex.search(r"\p{L}", r[1]))
+
+
+def test_stage_near_duplicates(spark, docs, rows):
+    gone = {d for d, _, c in components(rows, 5, 80) if d != c}
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == COLUMNS and rowset(got) == wanted(r for r in rows if r[0] not in gone or r[0] is None)
+
+
+def test_stage_decontamination(spark, docs, rows, tmp_path):
+    item = " ".join(next(r[1] for r in rows if r[0] == 7).split("\n")[-1].split()[3:18])
+    spark.createDataFrame([("a", item), ("b", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    w = decontaminate.words(item)
+    windows = {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+    bad = lambda t: any(tuple(x[i : i + 10]) in windows for x in [decontaminate.words(t)] for i in range(len(x) - 9))
+    assert any(bad(r[1]) for r in rows)
+    got = pipeline.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == COLUMNS and rowset(got) == wanted(r for r in rows if not bad(r[1]))
+
+
+def mixed(rows):
+    """(row, taken) of the weighted fair queue, by brute force."""
+    size = lambda r: len((r[1] or "").encode().split())
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(r) for r in rows if r[3] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    target, open_, left = {}, set(sources), 1.5 * sum(total.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * total[s] < level * weight[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 2.0 * total[s] for s in full}
+        left -= sum(2 * total[s] for s in full)
+        open_ -= full
+    entries = []
+    for s in sources:
+        queue = sorted((r for r in rows if r[3] == s), key=lambda r: (hashlib.md5((str(r[0]) if r[0] is not None else "").encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r)))
+        for turn in (0, 1):
+            sent = turn * total[s]
+            for r in queue:
+                sent += size(r)
+                if size(r):
+                    entries.append((sent / target[s], "n" if s is None else f"s{s}", sent - turn * total[s], turn, id(r), size(r)))
+    budget, taken = int(sum(target.values()) + 1e-6), {}
+    for *_, name, n in sorted(entries):
+        part = max(0, min(n, budget))
+        taken[name] = taken.get(name, 0) + part
+        budget -= part
+    return [(r, size(r), total[r[3]], target[r[3]], taken.get(id(r), 0)) for r in rows]
+
+
+def test_mixing_by_brute_force(docs, rows):
+    rows = [tuple(list(r)) if i else r for i, r in enumerate(map(list, rows))]
+    want = mixed(rows)
+    got = mixing.mix(docs).collect()
+    # rows with one id and size are interchangeable
+    assert sorted((str(r.doc_id), r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == sorted((str(r[0]), n, t, round(g, 6), k) for r, n, t, g, k in want)
+
+
+def test_stage_mixture(spark, docs, rows):
+    want, most = [], {}
+    for r, n, _, _, k in mixed([list(r) for r in rows]):
+        most[r[0], n] = max(most.get((r[0], n), 0), -(-k // n) if n else 0)
+        want.append((r, n))
+    got = pipeline.mixture(spark, docs, SF)
+    assert got.columns == COLUMNS and rowset(got) == wanted(r for r, n in want for _ in range(most[r[0], n]))
+
+
+def test_stage_tokens(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
+    got = pipeline.tokens(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(r[0]), len(tk.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in rows)
+
+
+def test_stages_of_nothing(spark, empty):
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
