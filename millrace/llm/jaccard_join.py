@@ -39,7 +39,7 @@ from .common import U64
 #: Shingles of a group joined in one task; most shingles that the order may put last (8 bytes each, broadcast); least number of prefixes that share such a one.
 REGION, LAST, OFTEN = 2_000_000, 1 << 20, 24
 #: Members from which a group is split by Voronoi cells; pivots of a split; rounds of splits over many tasks.
-CELL, PIVOTS, ROUNDS = 16, 8, 3
+CELL, PIVOTS, ROUNDS = 2, 8, 3
 #: Least and most bits of a bitmap (powers of two; in between the least one that is not below the set's size).
 BITS = 64, 1 << 16
 _PREFIX = np.dtype([("key", "<u8"), ("set", "<u8"), ("n", "<u4")])
@@ -219,13 +219,13 @@ class Region:
             return
         if len(members) > CELL and depth < 12:
             far, distances = first, [first]
-            for _ in range(PIVOTS - 1):  # farthest first
+            for _ in range(min(PIVOTS, len(members) - 1) - 1):  # farthest first
                 p = int(members[np.argmax(far)])
                 distances.append(self.link(p, members))
                 far = np.minimum(far, distances[-1])
             d = np.stack(distances)
             cells = d <= d.min(0) + 2 * self.radius + 1e-9
-            if cells.sum(1).max() < 0.8 * len(members):
+            if cells.sum(1).max() < len(members):
                 for cell in cells:
                     self.join(members[cell], depth + 1)
                 return
