@@ -8,10 +8,11 @@ are put into one group; no two groups need to be compared. The order puts shingl
 prefixes share last, so that a passage that is found everywhere gathers nothing. (Pivots cannot part the
 whole corpus: nearly all documents are farther than 1 - 2r from all of them, and so in every window.)
 
-Every group is joined by pivots. Sets go to the Voronoi cell of the nearest pivot, and by the triangle
-inequality also to every cell whose pivot is at most 2r farther away; cells are split again while that
-makes them smaller, and joined exactly otherwise, each set against those whose distance to the pivot
-differs by at most r and that are not connected with it yet. A group of over ``REGION`` shingles is
+Every group is joined by pivots. Sets go to the Voronoi cell of the nearest pivot, if that is within
+``REACH``, and by the triangle inequality also to every cell whose pivot is at most 2r farther away and
+within ``REACH`` + r; sets farther than ``REACH`` - r from all pivots are joined among themselves, by pivots of
+their own. Cells are split again while that makes them smaller, and joined exactly otherwise, each set
+against those whose distance to the pivot differs by at most r and that are not connected with it yet. A group of over ``REGION`` shingles is
 parted by the same rule over many tasks: its pivots go to blocks of its sets, which give the distances,
 and the cells are the next round's groups. Sets within the radius of a cell's pivot are linked by it, so
 a cell that has no others is done. What is still too large after ``ROUNDS`` rounds is joined in blocks:
@@ -38,8 +39,10 @@ from .common import U64
 
 #: Shingles of a group joined in one task; most shingles that the order may put last (8 bytes each, broadcast); least number of prefixes that share such a one.
 REGION, LAST, OFTEN = 2_000_000, 1 << 20, 24
-#: Members from which a group is split by Voronoi cells; pivots of a split; rounds of splits over many tasks.
-CELL, PIVOTS, ROUNDS = 2, 8, 3
+#: Members above which a group is split by Voronoi cells; pivots of a split; most splits of a task within each other; rounds of splits over many tasks.
+CELL, PIVOTS, DEPTH, ROUNDS = 2, 8, 8, 3
+#: Greatest distance of a set from the pivot whose cell it is in; sets farther from all pivots are the rest, which gets pivots of its own.
+REACH = 0.5
 #: Least and most bits of a bitmap (powers of two; in between the least one that is not below the set's size).
 BITS = 64, 1 << 16
 _PREFIX = np.dtype([("key", "<u8"), ("set", "<u8"), ("n", "<u4")])
@@ -209,26 +212,33 @@ class Region:
         self.component[np.isin(self.component, np.unique(self.component[members[near]]))] = self.component[x]
         return distance
 
+    def cells(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distances (pivots, sets): the sets of each pivot's cell with its window, and those of the rest with its own."""
+        near = d.min(0)
+        return d <= np.minimum(near + 2 * self.radius, REACH + self.radius) + 1e-9, near > REACH - self.radius - 1e-9
+
     def join(self, members: np.ndarray, depth: int = 0) -> None:
-        if len(members) < 2 or (self.component[members] == self.component[members[0]]).all():
-            return
-        members = members[np.argsort(-self.central[members], kind="stable")]
-        pivot = int(members[0])
-        first = self.link(pivot, members)
-        if (self.component[members] == self.component[pivot]).all():
-            return
-        if len(members) > CELL and depth < 12:
+        while True:
+            if len(members) < 2 or (self.component[members] == self.component[members[0]]).all():
+                return
+            members = members[np.argsort(-self.central[members], kind="stable")]
+            pivot = int(members[0])
+            first = self.link(pivot, members)
+            if (self.component[members] == self.component[pivot]).all():
+                return
+            if len(members) <= CELL or depth >= DEPTH:
+                break
             far, distances = first, [first]
             for _ in range(min(PIVOTS, len(members) - 1) - 1):  # farthest first
                 p = int(members[np.argmax(far)])
                 distances.append(self.link(p, members))
                 far = np.minimum(far, distances[-1])
-            d = np.stack(distances)
-            cells = d <= d.min(0) + 2 * self.radius + 1e-9
-            if cells.sum(1).max() < len(members):
-                for cell in cells:
-                    self.join(members[cell], depth + 1)
-                return
+            cells, rest = self.cells(np.stack(distances))
+            if cells.sum(1).max() == len(members) or rest.all() or cells.sum() > 1.5 * len(members):
+                break
+            for cell in cells:
+                self.join(members[cell], depth + 1)
+            members = members[rest]
         order = np.argsort(first, kind="stable")
         members, first = members[order], first[order]
         probes = np.argsort(-self.central[members], kind="stable")
@@ -348,9 +358,12 @@ def _cells(k: int, num: int, den: int):
         p_ids, ids, name = (np.array(x, np.int64) for x in ([docs[first[i]] for i in pa_], [docs[last[i]] for i in at], [names[last[i]] for i in at]))
         region = Region([*ps, *sets], num, den)
         distance, exact = (np.stack(x, 1) for x in zip(*(region.distances(i, np.arange(len(ps), len(ps) + len(sets))) for i in range(len(ps))), strict=True))
-        row, cell = np.nonzero(distance <= distance.min(1, keepdims=True) + 2 * region.radius + 1e-9)
-        n, near = region.size[len(ps) :][row], exact[row, cell]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), regions[0])), pa.array(p_ids[cell]), pa.array(name[row]), pa.array(ids[row]), pa.array(n), pa.array(near)], names=["region", "pivot", "set", "doc", "n", "near"])
+        cells, rest = region.cells(distance.T)
+        row, cell = np.nonzero(np.concatenate([cells, rest[None]]).T)
+        out = cell == len(ps)  # the rest has no pivot
+        cell = np.where(out, 0, cell)
+        n, near = region.size[len(ps) :][row], exact[row, cell] & ~out
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), regions[0])), pa.array(p_ids[cell], mask=out), pa.array(name[row]), pa.array(ids[row]), pa.array(n), pa.array(near)], names=["region", "pivot", "set", "doc", "n", "near"])
 
     return _by_part(fn, ("region", "pivot", "set", "doc", "text"))
 
