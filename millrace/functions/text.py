@@ -26,6 +26,7 @@ MASKS = (
     r"(?:路|街|巷|弄|大道|胡同)\d{1,6}号?",
     r"[一-龥]{2,8}(?:小区|花园|苑|公寓|大厦|广场|新村)",
 )
+ALIASES = {"冠心病": "冠状动脉粥样硬化性心脏病", "甲亢": "甲状腺功能亢进", "哮喘": "支气管哮喘", "心梗": "心肌梗死", "脑梗": "脑梗死"}
 DRUG_HINT = "药|片|胶囊|颗粒|丸|素|注射|口服|滴眼|软膏|溶液|糖浆|栓|喷雾|贴剂|混悬|糖衣|肠溶|缓释"
 DRUG_TAIL = "(的用药|用药|有哪些|是什么|哪些|什么|是|有|的)+$"
 
@@ -68,7 +69,7 @@ def safety_flags(text: Column, danger: Sequence[str] = DANGER, diagnostic: Seque
 
 def strip(text: Column, characters: str = "") -> Column:
     """Without Unicode white space (and any of the characters) at both ends."""
-    c = f"[\\s{re.escape(characters)}]" if characters else "\\s"
+    c = f"[\\s\\x1c-\\x1f{re.escape(characters)}]"
     return F.regexp_replace(text, f"(?U)^{c}+|{c}+$", "")
 
 
@@ -79,8 +80,27 @@ def truncate(text: Column, most: int = 1500) -> Column:
 def first_question(questions: Column) -> Column:
     """First of ["q", ...] or of [["q", ...], ...] read as an array of strings; empty if there is none."""
     q = F.try_element_at(questions, F.lit(1))
-    inner = F.try_element_at(F.from_json(q, "array<string>"), F.lit(1))
-    return F.coalesce(F.when(F.startswith(q, F.lit("[")), inner).otherwise(q), F.lit(""))
+    inner = F.from_json(q, "array<string>")
+    nested = F.startswith(q, F.lit("[")) & inner.isNotNull()  # a question may begin with a bracket
+    return F.coalesce(F.when(nested, F.try_element_at(inner, F.lit(1))).otherwise(q), F.lit(""))
+
+
+def canonical(name: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """The name that an alias stands for, else the name."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), name), name)
+
+
+def normalized(name: Column) -> Column:
+    """An entity's name without white space."""
+    return F.regexp_replace(name, "(?U)[\\s\\x1c-\\x1f]+", "")
+
+
+def remembered(question: Column, word: str = "记住") -> Column:
+    """What to keep of a message that asks to be remembered: its text, escaped for HTML; else null."""
+    out = question
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.when(F.contains(F.lower(question), F.lit(word)), out)
 
 
 def drug_name(question: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,12 @@ RULES = (
     ("belongs_to_department", "disease", "department", ("就诊科室", "科室")),
 )
 HEAD_TRIM = "的。，？? 可能会是：:"
-ALIASES = {"冠心病": "冠状动脉粥样硬化性心脏病", "甲亢": "甲状腺功能亢进", "哮喘": "支气管哮喘", "心梗": "心肌梗死", "脑梗": "脑梗死"}
+FIRST_HOP = ("symptom_of",)
+SECOND_HOP = ("has_drug", "has_treatment", "has_symptom", "has_examination", "has_complication", "belongs_to_department")
+
+
+#: Unresolved names broadcast at once.
+BLOCK = 2_000
 
 
 def relations(records: DataFrame) -> DataFrame:
@@ -36,7 +43,7 @@ def relations(records: DataFrame) -> DataFrame:
 def triples(records: DataFrame) -> DataFrame:
     """head, pred, tail, cnt, first_seq: kept if the disease side is a seed; symptoms also count backwards."""
     rel = relations(records)
-    squeeze = lambda c: F.regexp_replace(c, "(?U)\\s+", "")
+    squeeze = T.normalized
     flat = rel.select("seq", "pred", squeeze(F.col("head")).alias("head"), F.posexplode("tails").alias("pos", "tail")).withColumn("tail", squeeze(F.col("tail"))).where("tail <> ''")
     seeds = rel.where(F.col("pred").isin("belongs_to_department", "has_complication") & ~((F.col("pred") == "has_complication") & F.col("head").contains("术"))).select(squeeze(F.col("head")).alias("seed")).distinct()
     key = F.when(F.col("pred") == "symptom_of", F.col("tail")).otherwise(F.col("head"))
@@ -59,18 +66,75 @@ def nodes(tr: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.min_by("type", "o").alias("type"), F.sum("cnt").alias("count"), F.sum("indeg").cast("long").alias("symptom_indegree"))
 
 
-def two_hop(tr: DataFrame, starts: DataFrame, top: int = 5, branch: int = 20, first: str = "symptom_of") -> DataFrame:
-    """start, disease, score, relation, name, cnt: best diseases of a start with hub suppression, then each relation's best tails."""
+def two_hop(tr: DataFrame, starts: DataFrame, top: int = 5, branch: int = 20, first: str = "symptom_of", ranked: bool = False) -> DataFrame:
+    """start, disease, score, place, relation, name, cnt (and, with ``ranked``, r, the place within the relation): best diseases of a start with hub suppression, then each relation's best tails."""
     indeg = tr.where(F.col("pred") == first).groupBy("tail").agg(F.count("*").alias("indeg"))
     hop = tr.where(F.col("pred") == first).join(starts, F.col("head") == F.col("start"), "left_semi").join(indeg, "tail", "left")
     score = F.col("cnt") / (1 + 0.5 * F.log1p(F.coalesce("indeg", F.lit(1)).cast("double")))
     w = Window.partitionBy("start").orderBy(F.desc("score"), "first_seq")
     best = hop.select(F.col("head").alias("start"), F.col("tail").alias("disease"), F.round(score, 6).alias("score"), "first_seq")
     best = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= min(top, branch)).drop("first_seq")
-    out = best.join(tr.where(F.col("pred") != first), F.col("disease") == F.col("head"))
+    out = best.join(tr.where(F.col("pred").isin(*SECOND_HOP)), F.col("disease") == F.col("head"))
     w2 = Window.partitionBy("start", "disease", "pred").orderBy(F.desc("cnt"), "first_seq")
-    return out.withColumn("r", F.row_number().over(w2)).where(F.col("r") <= branch).select("start", "disease", "score", F.col("place").cast("long").alias("place"), F.col("pred").alias("relation"), F.col("tail").alias("name"), "cnt")
+    return out.withColumn("r", F.row_number().over(w2)).where(F.col("r") <= branch).select("start", "disease", "score", F.col("place").cast("long").alias("place"), F.col("pred").alias("relation"), F.col("tail").alias("name"), "cnt", *(["r"] if ranked else []))
 
 
 def stats(tr: DataFrame) -> DataFrame:
     return tr.groupBy("pred").agg(F.count("*").alias("triples"), F.count_distinct("head").alias("heads"), F.count_distinct("tail").alias("tails"), F.sum("cnt").alias("instances"))
+
+
+def edges(tr: DataFrame) -> DataFrame:
+    """head, tail, relation, count: the graph's edges, relation and count as attributes."""
+    return tr.select("head", "tail", F.col("pred").alias("relation"), F.col("cnt").alias("count"))
+
+
+def kept_per_record(tr: DataFrame, records: DataFrame) -> DataFrame:
+    """Instances kept, records read, and the one by the other."""
+    return tr.agg(F.sum("cnt").alias("instances")).crossJoin(records.agg(F.count("*").alias("records"))).withColumn("kept", F.bround(F.coalesce("instances", F.lit(0)) / F.greatest("records", F.lit(1)), 2))
+
+
+def neighbors(tr: DataFrame, starts: DataFrame, allowed: tuple[str, ...] = SECOND_HOP) -> DataFrame:
+    """start, tail, relation, count: out-edges of the starts (start) whose relation is allowed."""
+    return tr.where(F.col("pred").isin(*allowed)).join(starts, F.col("head") == F.col("start")).select("start", "tail", F.col("pred").alias("relation"), F.col("cnt").alias("count"))
+
+
+def resolve(queries: DataFrame, names: DataFrame, vectors: DataFrame, least: float = 0.6, aliases: dict[str, str] = T.ALIASES) -> DataFrame:
+    """query, node, method, sim of each query (query, vector): its name, without white space and by alias, if it is a
+    node of any type (name); else the symptom (name, vector) of greatest cosine, by name if equal, from ``least`` up.
+
+    Only queries that are no nodes are held against the vectors, which are many; of each task the best of a query goes on.
+    """
+    own = T.normalized(F.col("query"))
+    asked = queries.select("query", "vector", own.alias("own"), T.canonical(own, aliases).alias("node"))
+    exact = asked.join(names.select(F.col("name").alias("node")).distinct(), "node", "left_semi")
+    found = exact.select("query", "node", F.when(F.col("own") == F.col("node"), "exact").otherwise("alias").alias("method"), F.lit(None).cast("double").alias("sim"))
+    rest = asked.join(exact.select("query"), "query", "left_anti").select("query", F.col("vector").alias("q"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("vector"), F.col("vector")))
+    # a block of queries goes to the executors at once, and reads the vectors once
+    n = max(1, -(-rest.count() // BLOCK))
+    blocks = [vectors.join(F.broadcast(rest.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i))) for i in range(n)]
+    near = reduce(DataFrame.unionByName, blocks).select("query", "name", F.round(F.when(norm > 0, dot(F.col("q"), F.col("vector")) / norm).otherwise(-1.0), 6).alias("sim"))
+    best = near.groupBy("query").agg(F.min(F.struct((-F.col("sim")).alias("far"), "name")).alias("best"))
+    hit = F.col("best.far") <= -least
+    close = rest.select("query").join(best, "query", "left").select("query", F.when(hit, F.col("best.name")).alias("node"), F.when(hit, "nearest").alias("method"), F.when(hit, -F.col("best.far")).alias("sim"))
+    return found.unionByName(close)
+
+
+def coverage(tr: DataFrame, diseases: DataFrame, aliases: dict[str, str] = T.ALIASES) -> DataFrame:
+    """disease, node and whether it has symptoms, drugs, departments, treatments; covered: symptoms, and drugs or treatments."""
+    heads = tr.groupBy("head").agg(F.collect_set("pred").alias("preds"))
+    both = diseases.withColumn("node", T.canonical(T.normalized(F.col("disease")), aliases)).join(heads, F.col("node") == F.col("head"), "left")
+    has = lambda p: F.coalesce(F.array_contains("preds", p), F.lit(False))
+    out = both.select("disease", "node", has("has_symptom").alias("symptoms"), has("has_drug").alias("drugs"), has("belongs_to_department").alias("departments"), has("has_treatment").alias("treatments"))
+    return out.withColumn("covered", F.col("symptoms") & (F.col("drugs") | F.col("treatments")))
+
+
+def expected(actual, wanted, aliases: dict[str, str] = T.ALIASES):
+    """Whether a disease is the one expected: equal by alias, or one name within the other."""
+    return (T.canonical(actual, aliases) == T.canonical(wanted, aliases)) | F.contains(actual, wanted) | F.contains(wanted, actual)
+
+
+def symptom_names(nodes_: DataFrame) -> DataFrame:
+    """name: the symptoms, in the order of names that settles ties."""
+    return nodes_.where("type = 'symptom'").select("name").orderBy("name")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import plug
+
 #: Queries broadcast at once; more go through in blocks of this many ids.
 QUERY_BLOCK = 10_000
 #: Text queries held by a task at once. Words in more than this share of them, and at most so many, are scored by a matrix product.
@@ -20,13 +23,15 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, filter_label: bool = Fals
     held against all rows, k rows per query and task cross the shuffle (WindowGroupLimit).
     A query's own row (vec_id = query_id) doesn't count; ties go to the smaller id.
     """
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        n = -(-queries.count() // QUERY_BLOCK) + 1
-        parts = [knn(corpus, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), k, filter_label) for i in range(n)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    n = -(-queries.count() // QUERY_BLOCK)
+    if n > 1:
+        # each block reads the corpus once; the blocks' sizes are about equal
+        parts = [_knn(corpus, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), k, filter_label) for i in range(n)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    return _knn(corpus, queries, k, filter_label)
+
+
+def _knn(corpus: DataFrame, queries: DataFrame, k: int, filter_label: bool) -> DataFrame:
     on = F.col("vec_id") != F.col("query_id")
     if filter_label:
         on = on & (F.col("label") == F.col("query_label"))
@@ -37,6 +42,11 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, filter_label: bool = Fals
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def prior(corpus: DataFrame, missing: str = "未知科室") -> DataFrame:
+    """label, prior: how many rows have each label; none is a label of its own."""
+    return corpus.groupBy(F.coalesce("label", F.lit(missing)).alias("label")).agg(F.count("*").alias("prior"))
+
+
 def vote(neighbours: DataFrame, prior: DataFrame, top: int = 5, invalid: tuple = ()) -> DataFrame:
     """Labels by count squared over expected count; counts leave invalid labels out, the number retrieved doesn't."""
     n = neighbours.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -51,28 +61,30 @@ def vote(neighbours: DataFrame, prior: DataFrame, top: int = 5, invalid: tuple =
     return ranked.select("query_id", "label", F.col("cnt").cast("long").alias("cnt"), F.round("score", 6).alias("score"), F.round(share, 6).alias("confidence"), F.col("place").cast("long").alias("place"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, tok, tf, dl of lower-cased alphanumeric tokens."""
-    toks = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("t"))
-    return toks.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, terms: list[str] | None = None, tokens: Callable[[Column], Column] = plug.latin_tokens) -> DataFrame:
+    """doc_id, tok, tf, dl of the tokens (lower-cased alphanumeric ones by default), or of those among ``terms`` alone."""
+    t = F.col("t") if terms is None else F.filter("t", lambda x: x.isin(*terms))
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), t.alias("t"))
+    return rows.select("doc_id", "dl", F.explode("t").alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
 
+def bm25_stats(docs: DataFrame, epsilon: float = 0.25, tokens: Callable[[Column], Column] = plug.latin_tokens) -> tuple[DataFrame, DataFrame]:
+    """(tok, df, idf) with negative idf floored, and one row (n, avgdl). Documents without tokens count.
 
-def bm25_stats(docs: DataFrame, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """(tok, df, idf) with negative idf floored, and one row (n, avgdl). Documents without tokens count."""
-    post = postings(docs)
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+")).cast("double")).alias("avgdl"))
-    df = post.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    Each document gives its distinct tokens once, counted before the shuffle; no postings are moved."""
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text"))).cast("double")).alias("avgdl"))
+    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok")).groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return idf, size
 
 
-def bm25_search(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_search(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = plug.latin_tokens) -> DataFrame:
     """doc_id, score, rank of the k best; cut to k first, then scores of 0 or less go. A term given twice counts twice."""
-    idf, size = bm25_stats(docs)
+    idf, size = bm25_stats(docs, tokens=tokens)
     wanted = docs.sparkSession.createDataFrame([(t,) for t in terms], "tok string").groupBy("tok").agg(F.count("*").alias("times"))
-    hits = postings(docs).join(F.broadcast(wanted), "tok").join(idf, "tok").crossJoin(F.broadcast(size))
+    hits = postings(docs, terms, tokens).join(F.broadcast(wanted), "tok").join(idf.where(F.col("tok").isin(*terms)), "tok").crossJoin(F.broadcast(size))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     top = scores.orderBy(F.desc("score"), "doc_id").limit(k)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,20 +27,52 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
-def parse(df: DataFrame, source: str) -> DataFrame:
-    """document, answer, label, source of a source's records; empty documents, templates and invalid labels go."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    none = F.lit(None).cast("string")
-    if source == "labelled":
-        q, label = text("question"), T.correct_label(F.col("question"), F.col("label"))
-        out = df.where(~T.is_template(F.col("question"))).select(q.alias("document"), F.col("answer"), label.alias("label")).where(~F.coalesce(F.col("label"), F.lit("")).isin(*T.INVALID_LABELS))
-    elif source == "encyclopedia":
-        q, a = T.first_question(F.col("questions")), F.coalesce(F.try_element_at("answers", F.lit(1)), F.lit(""))
-        out = df.select(T.strip(F.concat(q, F.lit(" "), a)).alias("document"), a.alias("answer"), none.alias("label"))
-    elif source == "graph":
-        a = F.array_join(F.filter("answers", lambda x: x != ""), "；")
-        out = df.select(T.strip(F.concat(T.first_question(F.col("questions")), F.lit(" "), F.coalesce(a, F.lit("")))).alias("document"), a.alias("answer"), none.alias("label"))
-    else:
-        asked = T.strip(F.concat(text("instruction"), F.lit(" "), text("input")))
-        out = df.select(T.strip(F.concat(asked, F.lit(" "), text("output"))).alias("document"), F.col("output").alias("answer"), none.alias("label"))
-    return out.withColumn("document", T.truncate(F.col("document"))).withColumn("source", F.lit(source)).where("document <> ''")
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def _parsed(df: DataFrame, document: Column, answer: Column, **more: Column) -> DataFrame:
+    blank = {"label": "string", "score": "int", "related_diseases": "string"}
+    return df.select(document.alias("document"), answer.alias("answer"), *(more.get(c, F.lit(None).cast(t)).alias(c) for c, t in blank.items()))
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    label = F.coalesce(T.correct_label(F.col("question"), F.col("label")), F.lit(""))
+    rows = df.where(~T.is_template(F.col("question"))).where(~label.isin(*T.INVALID_LABELS))
+    return _parsed(rows, _text("question"), _text("answer"), label=label, score=F.coalesce(F.col("score").cast("int"), F.lit(0)), related_diseases=_text("related_diseases"))
+
+
+def _encyclopedia(df: DataFrame) -> DataFrame:
+    answer = F.coalesce(F.try_element_at("answers", F.lit(1)), F.lit(""))
+    return _parsed(df, T.strip(F.concat(T.first_question(F.col("questions")), F.lit(" "), answer)), answer)
+
+
+def _graph(df: DataFrame) -> DataFrame:
+    answer = F.array_join(F.filter("answers", lambda x: x != ""), "；")
+    return _parsed(df, T.strip(F.concat(T.first_question(F.col("questions")), F.lit(" "), F.coalesce(answer, F.lit("")))), answer)
+
+
+def _dialogue(df: DataFrame) -> DataFrame:
+    asked = T.strip(F.concat(_text("instruction"), F.lit(" "), _text("input")))
+    return _parsed(df, T.strip(F.concat(asked, F.lit(" "), _text("output"))), F.col("output"))
+
+
+#: Parsers by source; more can be put in.
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"labelled": _labelled, "encyclopedia": _encyclopedia, "graph": _graph, "dialogue": _dialogue}
+
+
+def parse(df: DataFrame, source: str, most: int = 1500) -> DataFrame:
+    """document, answer, label, score, related_diseases, source of a source's records; empty documents, templates and invalid labels go."""
+    if source not in PARSERS:
+        raise ValueError(f"no parser for {source}")
+    return PARSERS[source](df).withColumn("document", T.truncate(F.col("document"), most)).withColumn("source", F.lit(source)).where("document <> ''")
+
+
+def corpus(sources: dict[str, DataFrame]) -> DataFrame:
+    """All sources' parsed records in one table."""
+    return reduce(DataFrame.unionByName, [parse(df, name) for name, df in sources.items()])
+
+
+def with_metadata(df: DataFrame) -> DataFrame:
+    """document and metadata, the other columns as JSON without nulls."""
+    return df.select("document", F.to_json(F.struct(*[c for c in df.columns if c != "document"])).alias("metadata"))

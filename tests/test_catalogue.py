@@ -7,7 +7,7 @@ import pytest
 
 from millrace.functions import text as T
 from millrace.operators import graph, records, retrieval
-from millrace.plans import catalogue
+from millrace.plans import catalogue, workflow
 from millrace.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -27,11 +27,18 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+ORACLE, QUERIES = catalogue.oracle_sql() | workflow.oracle_sql(), catalogue.queries() | workflow.queries()
+
+
+def test_every_query_has_sql():
+    assert set(ORACLE) == set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, con, name):
-    df = catalogue.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = con.sql(catalogue.oracle_sql()[name])
+    want = con.sql(ORACLE[name])
     assert sorted(want.columns) == columns
     assert rows(tuple(r[c] for c in columns) for r in df.collect()) == rows(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
