@@ -345,8 +345,11 @@ def spans(docs: DataFrame, symbols, k: int, length: int, group, across: bool) ->
     """
     n_buckets, n_docs = common.buckets(docs), doc_buckets(docs)
     found = places(docs, symbols, k, length, across)
-    kinds = settled(reads(docs, found, symbols, k, length), n_buckets, n_docs, across)
+    # saved, so that the shuffle of the texts is gone before the reads are dealt out
+    packed = common.save(reads(docs, found, symbols, k, length), "repeat-reads")
     common.drop(found)
+    kinds = settled(packed, n_buckets, n_docs, across)
+    common.drop(packed)
     blobs = contents(docs, kinds.where(F.col("what") == WANTED).select("bucket", "data"), symbols, n_buckets)
     both = blobs.unionByName(kinds.where(F.col("what") == READS).select("bucket", "data", F.lit(None).cast("binary").alias("text")))
 
