@@ -43,6 +43,8 @@ REGION, LAST, OFTEN = 2_000_000, 1 << 20, 24
 CELL, PIVOTS, DEPTH, ROUNDS = 2, 8, 8, 3
 #: Greatest distance of a set from the pivot whose cell it is in; sets farther from all pivots are the rest, which gets pivots of its own.
 REACH = 0.5
+#: Most members of groups (24 bytes each) that are broadcast to the texts.
+FEW = 1_000_000
 #: Least and most bits of a bitmap (powers of two; in between the least one that is not below the set's size).
 BITS = 64, 1 << 16
 _PREFIX = np.dtype([("key", "<u8"), ("set", "<u8"), ("n", "<u4")])
@@ -368,9 +370,10 @@ def _cells(k: int, num: int, den: int):
     return _by_part(fn, ("region", "pivot", "set", "doc", "text"))
 
 
-def _texts(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """The rows with the texts of their documents, the rows of a part together."""
-    return rows.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").repartition(n, "part").sortWithinPartitions("part")
+def _texts(rows: DataFrame, docs: DataFrame, n: int, few: bool = False) -> DataFrame:
+    """The rows with the texts of their documents, the rows of a part together. Of few rows, all tasks get a
+    copy and only their texts move; else all texts are dealt out by id to meet them."""
+    return (F.broadcast(rows) if few else rows).join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").repartition(n, "part").sortWithinPartitions("part")
 
 
 def _links(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int, n: int) -> DataFrame:
@@ -380,7 +383,8 @@ def _links(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int, n: in
     for turn in range(ROUNDS + 1):
         sizes = groups.groupBy("region").agg(sum_n, F.sum(F.when(F.col("near"), 0).otherwise(F.col("n"))).alias("others")).where("others > 0")
         small = groups.join(sizes.where(F.col("all") <= REGION).select("region"), "region")
-        edges.append(common.save(common.arrow(_texts(small.select("set", "doc", F.col("region").alias("part")), docs, n), _join_groups(k, num, den), "a long, b long"), "jaccard-edges"))
+        few = groups.count() <= FEW
+        edges.append(common.save(common.arrow(_texts(small.select("set", "doc", F.col("region").alias("part")), docs, n, few), _join_groups(k, num, den), "a long, b long"), "jaccard-edges"))
         large = common.save(groups.join(sizes.where(F.col("all") > REGION), "region"), "jaccard-large")
         if not large.head(1):
             common.drop(large)

@@ -121,6 +121,7 @@ def test_jaccard_of_large_groups(spark, monkeypatch, rounds):
     rows += [(5, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (9, "g h i j k l"), (3, rows[30][1]), (3, "g h i j k l"), (4, rows[10][1]), (4, rows[50][1])]
     monkeypatch.setattr(jaccard_join, "REGION", 150)
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "FEW", 1_000_000 if rounds else 0)
     assert joined(spark.createDataFrame(rows, "doc_id long, text string"), 2, 70) == components(rows, 2, 70)
 
 
