@@ -314,6 +314,63 @@ def test_wrapped_licenses(spark):
     assert got[4][0] == "BSD-3-Clause" and got[6][0] == "GPL-3.0-header"
 
 
+def test_whole_paragraphs(spark):
+    """No length of a paragraph or a wording hides a notice, and a version tells notices apart."""
+    t, filler = licenses.TEMPLATES, " ".join(f"word{i}" for i in range(3_000))
+    long = " ".join(f"clause{i} of the license" for i in range(700))
+    texts = [(1, f"{filler} {t['BSD-disclaimer']} {filler} {t['MIT']} {filler}"), (2, f"{filler}\n{long}\n{filler}"), (3, t["GPL-2.0-header"]), (4, t["AGPL-3.0-header"]),
+             (5, "\n".join((t["GPL-2.0-header"], t["GPL-3.0-header"]))), (6, "\n\n".join(t[n] for n in ("MIT-grant", "MIT-condition", "MIT-disclaimer")))]
+    got = {r.doc_id: (r.licenses, r.n_blocks) for r in licenses.licenses(spark.createDataFrame(texts, "doc_id long, text string"), {**t, "long": long}).collect()}
+    assert got == {1: ("BSD-disclaimer,MIT", 1), 2: ("long", 1), 3: ("GPL-2.0-header", 1), 4: ("AGPL-3.0-header", 1), 5: ("GPL-2.0-header,GPL-3.0-header", 1), 6: ("MIT-condition,MIT-disclaimer,MIT-grant", 3)}
+
+
+def test_every_template_finds_itself():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert licenses.blocks(text) == [text] and name in [m[0] for m in scanner.scan(text) if m[2] == 0]
+
+
+def test_licenses_of_odd_rows(spark, docs, rows):
+    """Per row, whatever other rows and columns there are; notices are put into the odd texts."""
+    from pyspark.sql import functions as F
+
+    notice = f"\n\n{licenses.TEMPLATES['MIT']}\nfoo"
+    odd = docs.withColumn("licenses", F.lit(1)).withColumn("matches", F.lit("clash")).withColumn("text", F.when(F.length("text") % 2 == 0, F.concat("text", F.lit(notice))).otherwise(F.col("text")))
+    got = [(r.doc_id, r.n_blocks, r.n_licensed, r.licenses, len(r.matches)) for r in licenses.licenses(odd).collect()]
+    want = [(d, 1, 1, "MIT", 1) if t is not None and len(t) % 2 == 0 else (d, 0, 0, "", 0) for d, t, *_ in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def quality_of(rows, min_docs, max_share):
+    """Brute force: (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed words, removed lines) of rows (doc_id, text, host)."""
+    import re
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    norm = lambda line: " ".join(re.sub("[1-9]", "0", line.lower()).split())
+    lines = [[x for x in (t or "").split("\n")] for _, t, _ in rows]
+    size, held, out = {}, {}, []
+    for (_, _, host), own in zip(rows, lines, strict=True):
+        size[host] = size.get(host, 0) + 1
+        for x in {norm(x) for x in own if words(x)}:
+            held[host, x] = held.get((host, x), 0) + 1
+    for (doc, text, host), own in zip(rows, lines, strict=True):
+        w = words(text or "")
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        repeated = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in (i, i + 1, i + 2)} if len(w) < 1_000 or len(set(windows)) < len(windows) else set()
+        real = [x for x in own if words(x)]
+        gone = [i for i, x in enumerate(own) if words(x) and held[host, norm(x)] > max(min_docs, max_share * size[host])]
+        removed = sum(len(words(own[i])) for i in gone)
+        failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+        out.append((doc, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(real) - len(set(real)), len(repeated), failed, not failed and len(w) - removed >= 0.3 * len(w), removed, gone))
+    return out
+
+
+def test_quality_by_brute_force(docs, rows):
+    got = [tuple(r) for r in quality.quality(docs, min_docs=2, max_share=0.01).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "removed_lines").collect()]
+    want = quality_of([(d, t, s) for d, t, _, s, _ in rows], 2, 0.01)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(x[-1] for x in want)
+
+
 def test_wordings():
     """Against all runs of all blocks."""
     rng, found = random.Random(4), 0
