@@ -10,36 +10,110 @@ from pyspark.sql import functions as F
 
 from . import plug
 
-#: Queries broadcast at once; more go through in blocks of this many ids.
-QUERY_BLOCK = 10_000
+#: Bytes of query vectors broadcast at once; more go through in blocks.
+QUERY_BYTES = 16 << 20
+#: Queries and rows of one matrix product.
+TILE, ROWS = 2_048, 1_024
 #: Text queries held by a task at once. Words in more than this share of them, and at most so many, are scored by a matrix product.
 TEXT_BLOCK, OFTEN, MOST_OFTEN = 4_000, 0.02, 3_000
 
 
+def _nearest(batches, given, k: int, label_type):
+    """The k nearest rows of a task for every query, of (vec_id, embedding, label): query_id, vec_id, label, dist.
+
+    Products of blocks find which rows can be among them; those rows' distances are then taken element by element.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids, points, wanted, values = given.value
+    n, dim = points.shape
+    square, least = (points * points).sum(1), np.full(n, np.inf)
+    none = np.zeros(0, np.int64)
+    held = {lo: (none, none, np.zeros(0), np.zeros(0, object)) for lo in range(0, n, TILE)}
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            fits = pc.and_(pc.equal(pc.list_value_length(batch.column(1)), dim), pc.is_valid(batch.column(0)))
+            batch = batch.filter(pc.fill_null(fits, False))
+            rows = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            whole_rows = np.isfinite(rows).all(1)
+            rows, batch = rows[whole_rows], batch.filter(pa.array(whole_rows, pa.bool_()))
+            if not len(rows):
+                continue
+            vec, labels, row_square = batch.column(0).to_numpy(), batch.column(2), (rows * rows).sum(1)
+            code = None if wanted is None else pc.fill_null(pc.index_in(labels, value_set=values), -1).to_numpy(zero_copy_only=False)
+            for lo in held:
+                hi = min(lo + TILE, n)
+                far = square[lo:hi, None] + row_square - 2 * (points[lo:hi] @ rows.T)
+                far[ids[lo:hi, None] == vec] = np.inf
+                if code is not None:
+                    far[wanted[lo:hi, None] != code] = np.inf
+                bound = least[lo:hi]
+                if len(rows) > k and np.isinf(bound).any():
+                    bound = np.minimum(bound, np.partition(far, k - 1, axis=1)[:, k - 1])
+                slack = 1e-8 + 1e-12 * (square[lo:hi].max() + row_square.max())  # rounding, of products and of distances
+                q, r = np.nonzero((far <= (bound + slack)[:, None]) & (far < np.inf))
+                if not len(q):
+                    continue
+                dist = np.empty(len(q))
+                for i in range(0, len(q), 65_536):
+                    away = rows[r[i : i + 65_536]] - points[lo + q[i : i + 65_536]]
+                    dist[i : i + 65_536] = np.round((away * away).sum(1), 9)
+                near = np.empty(len(q), object)
+                near[:] = labels.take(pa.array(r)).to_pylist()
+                q, v, dist, near = (np.concatenate(x) for x in zip(held[lo], (q, vec[r], dist, near), strict=True))
+                order = np.lexsort((v, dist, q))
+                q = q[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                order, q, place = order[place < k], q[place < k], place[place < k]
+                held[lo] = q, v[order], dist[order], near[order]
+                last = place == k - 1
+                least[lo + q[last]] = held[lo][2][last]
+    for lo, (q, v, dist, near) in held.items():
+        columns = [pa.array(ids[lo + q], pa.int64()), pa.array(v, pa.int64()), pa.array(near.tolist(), label_type), pa.array(dist)]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "label", "dist"])
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, filter_label: bool = False) -> DataFrame:
-    """query_id, vec_id, label, dist, rank of the k nearest corpus vectors by squared L2 distance.
+    """query_id, vec_id, label, dist, rank (and query_label) of the k nearest corpus vectors by squared L2 distance.
 
-    ``queries`` (query_id, query[, query_label]) is a bounded set that the caller states: it is
-    held against all rows, k rows per query and task cross the shuffle (WindowGroupLimit).
-    A query's own row (vec_id = query_id) doesn't count; ties go to the smaller id.
+    ``queries`` (query_id, query[, query_label]) is a set that the caller states: it is held against all rows,
+    a block of bounded bytes at a time, each of which reads the corpus once; a task hands on k rows per query.
+    A query's own row (vec_id = query_id) doesn't count; ties go to the smaller id. Rows and queries without an
+    id, with a null or an element that is no finite number, or not of the queries' (greatest) length have no distance.
     """
-    n = -(-queries.count() // QUERY_BLOCK)
-    if n > 1:
-        # each block reads the corpus once; the blocks' sizes are about equal
-        parts = [_knn(corpus, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), k, filter_label) for i in range(n)]
-        return functools.reduce(DataFrame.unionByName, parts)
-    return _knn(corpus, queries, k, filter_label)
+    wide = queries.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim")).first()
+    dim = max(1, wide.dim or 1)
+    n = max(1, -(-wide.n * dim * 8 // QUERY_BYTES))
+    blocks = [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    found = functools.reduce(DataFrame.unionByName, [_knn(corpus, b, k, dim, filter_label) for b in blocks])
+    if filter_label:
+        found = found.withColumn("query_label", F.col("label"))
+    w = Window.partitionBy("query_id", *(["query_label"] if filter_label else [])).orderBy("dist", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _knn(corpus: DataFrame, queries: DataFrame, k: int, filter_label: bool) -> DataFrame:
-    on = F.col("vec_id") != F.col("query_id")
+def _knn(corpus: DataFrame, block: DataFrame, k: int, dim: int, filter_label: bool) -> DataFrame:
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    label = corpus.schema["label"].dataType
+    label_type = to_arrow_type(label)
+    block = block.where(F.col("query_id").isNotNull() & (F.size("query") == dim))
+    wanted = F.col("query_label").cast(label) if filter_label else F.lit(None).cast(label)
+    given = block.select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"), wanted.alias("query_label")).toArrow().combine_chunks()
+    points = given["query"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    whole = np.isfinite(points).all(1)
+    codes = values = None
     if filter_label:
-        on = on & (F.col("label") == F.col("query_label"))
-    squares = F.zip_with("embedding", "query", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    dist = F.round(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x), 9)
-    w = Window.partitionBy("query_id").orderBy("dist", "vec_id") if not filter_label else Window.partitionBy("query_id", "query_label").orderBy("dist", "vec_id")
-    pairs = corpus.join(F.broadcast(queries), on).withColumn("dist", dist).drop("embedding", "query")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        coded = given["query_label"].combine_chunks().dictionary_encode()
+        values = coded.dictionary
+        codes = coded.indices.fill_null(-2).to_numpy(zero_copy_only=False)[whole]
+    sent = corpus.sparkSession.sparkContext.broadcast((given["query_id"].to_numpy()[whole], points[whole], codes, values))
+    rows = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    return rows.mapInArrow(lambda batches: _nearest(batches, sent, k, label_type), f"query_id long, vec_id long, label {label.simpleString()}, dist double")
 
 
 def prior(corpus: DataFrame, missing: str = "未知科室") -> DataFrame:
