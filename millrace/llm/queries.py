@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, licenses, mixing, quality, substring_dedup, suffix_dedup, token_counts, token_output
+from . import byte_bpe, decontaminate, fill_middle, jaccard_join, language_id, licenses, mixing, quality, substring_dedup, suffix_dedup, token_counts, token_output, vector_codes
 from .common import table
 
 
@@ -61,15 +61,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents", ["doc_id", "text"]), length=20).drop("spans")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]), parts=4, entries=256, rounds=4)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_file("byte_bpe_50k.tiktoken"), byte_bpe.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import pipeline
 
-    ops = (op1_token_planes, op2_jaccard_join, op3_fair_mix, op4_suffix_dedup, op5_token_counts, op6_fm_decontaminate, op7_language, op8_licenses, op9_line_frequency, op10_substring_dedup)
+    ops = (op1_token_planes, op2_jaccard_join, op3_fair_mix, op4_suffix_dedup, op5_token_counts, op6_fm_decontaminate, op7_language, op8_licenses, op9_line_frequency, op10_substring_dedup, op11_fill_middle, op12_vector_codes, op13_byte_bpe)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Left out: operators 1 and 5 (tokenizer libraries), 7 (a trained model), 8 (compression), and the pipeline, which holds 7 and 1."""
+    """Left out: operators 1, 5 and 13 (tokenizer libraries), 7 (a trained model), 8 (compression), and the pipeline, which holds 7 and 1."""
     return {
         "op2_jaccard_join": jaccard_join.SQL,
         "op3_fair_mix": mixing.SQL,
@@ -77,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_fm_decontaminate": decontaminate.SQL,
         "op9_line_frequency": quality.SQL,
         "op10_substring_dedup": substring_dedup.SQL,
+        "op11_fill_middle": fill_middle.SQL,
+        "op12_vector_codes": vector_codes.SQL,
     }
