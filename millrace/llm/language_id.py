@@ -8,10 +8,12 @@ kernel matrix, and one ridge regression per language against the rest gives its
 that is linear in the n-grams, a batch of texts is scored by one product of its (sparse) presence
 matrix with a matrix of places by languages. A score is the softmax of the regressions' outputs.
 
-The model is fitted on a bounded sample of labelled rows, whole texts: about ``PER_LANG`` of each
-language by the hash of id and text, of which ``LANDMARKS_PER_LANG`` are landmarks (fewer, at least
-two, where that would make over ``LANDMARKS`` in all). Their n-grams are taken on the executors; the
-driver gets the landmarks' places and a row of kernel values of each sampled text. Every language met is learned.
+The model is fitted on a bounded sample of labelled rows, whole texts: of the different rows of each
+language about ``PER_LANG`` by the hash of id and text, all if there are fewer, of which the
+``LANDMARKS_PER_LANG`` of least hash are landmarks (fewer, at least two, where that would make over
+``LANDMARKS`` in all). The sample is written once. Its n-grams are taken on the executors; the
+driver gets the landmarks' places and a row of kernel values of each sampled text. Every language met
+is learned, also one of a single text that many rows repeat; the model has 1 MiB for each.
 
 All documents are scored over their whole texts, however long. Null texts and texts without a letter
 are ``und`` with score 0, as is everything if there is no labelled text. Ties go to the language that
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -109,18 +111,24 @@ class Kernels:
         return e / e.sum(1, keepdims=True)
 
 
+def sampled(labelled: DataFrame) -> DataFrame:
+    """lang, h, text: about ``PER_LANG`` different rows of each language by their hash; all of a language that has no more."""
+    has = labelled.where("text is not null and lang is not null and text <> ''").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    # of different rows, as repeats share a hash, and are in or out together
+    counts = {r["lang"]: r["n"] for r in has.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    # a row is in if its hash is below its language's share: a map over the rows, no shuffle of others' texts
+    share = F.try_element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, 1.0 if n <= PER_LANG else PER_LANG / n)]), F.col("lang")) if counts else F.lit(0.0)
+    return has.where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < share).dropDuplicates(["lang", "h"])
+
+
 def fit(labelled: DataFrame) -> Kernels:
     """A model of (doc_id, text, lang), on the bounded sample described above."""
     spark = labelled.sparkSession
-    has = labelled.where("text is not null and lang is not null and text <> ''").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    counts = {r["lang"]: r["count"] for r in has.groupBy("lang").count().collect()}
-    if not counts:
+    texts = common.save(sampled(labelled), "labelled")
+    langs = texts.agg(F.count_distinct("lang")).first()[0]
+    if not langs:
         return Kernels([], np.zeros((0, 0)), [])
-
-    def sample(each: int) -> DataFrame:
-        # a row is in if its hash is below its language's share: a map over the rows, no shuffle of others' texts
-        share = F.try_element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))]), F.col("lang"))
-        return has.where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < share).dropDuplicates(["lang", "h"])
+    each = max(2, min(LANDMARKS_PER_LANG, LANDMARKS // langs))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
@@ -128,11 +136,9 @@ def fit(labelled: DataFrame) -> Kernels:
             found = [presence.places(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.list_(pa.int32()))], names=["lang", "h", "places"])
 
-    each = max(2, min(LANDMARKS_PER_LANG, LANDMARKS // len(counts)))
-    rows = sorted(common.arrow(sample(each), places, "lang string, h long, places array<int>").collect(), key=lambda r: (r.lang, r.h))
-    if not rows:  # of few texts, no hash may be below the share
-        rows = sorted(common.arrow(sample(max(counts.values())), places, "lang string, h long, places array<int>").limit(LANDMARKS).collect(), key=lambda r: (r.lang, r.h))
-    landmarks = [np.array(r.places, np.int64) for r in rows]
+    order = [("lang", "ascending"), ("h", "ascending")]
+    marks = texts.join(texts.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("k")).where(F.col("k") <= each), ["lang", "h"]).select("lang", "h", "text")
+    landmarks = [p.values.to_numpy().astype(np.int64) for p in common.arrow(marks, places, "lang string, h long, places array<int>").toArrow().sort_by(order)["places"]]
     given = spark.sparkContext.broadcast(landmarks)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +147,9 @@ def fit(labelled: DataFrame) -> Kernels:
             found = [known.kernel(presence.places(t)).astype(np.float32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(found, pa.list_(pa.float32()))], names=["lang", "h", "k"])
 
-    rows = sorted(common.arrow(sample(PER_LANG), values, "lang string, h long, k array<float>").collect(), key=lambda r: (r.lang, r.h))
-    return Kernels(landmarks, np.array([r.k for r in rows], np.float32), [r.lang for r in rows])
+    rows = common.arrow(texts, values, "lang string, h long, k array<float>").toArrow().sort_by(order)
+    common.drop(texts)
+    return Kernels(landmarks, np.stack([k.values.to_numpy() for k in rows["k"]]), rows["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Kernels) -> DataFrame:

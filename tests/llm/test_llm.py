@@ -250,6 +250,21 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.parametrize(("repeats", "others"), [(3_000, 400), (1_000, 0)])
+def test_languages_of_repeats(spark, repeats, others):
+    """A language of one text, however often it stands there, is learned as others are."""
+    rng = random.Random(2)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(80)] for lang, letters in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=60))
+    rows = [(None, x, "cc") for x in [text("cc")] * repeats]
+    for lang in ("aa", "bb"):
+        rows += [(i, text(lang), lang) for i in range(others)] if others else [(None, x, lang) for x in [text(lang)] * repeats]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "bb", "cc"]
+    asked = spark.createDataFrame([(text(lang), lang) for lang in words for _ in range(20)], "text string, lang string")
+    assert all(r.lang == r.lang_pred for r in language_id.predict(asked, model).collect())
+
+
 def test_language_of_odd_texts(docs, rows):
     got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in language_id.languages(docs).collect())
     assert len(got) == len(rows)
