@@ -119,6 +119,20 @@ def token_confirms(events: DataFrame, issued: str, confirmed: str, ttl_s: int =
     return rows.select("user_id", "event_id", outcome.alias("outcome"))
 
 
+def reviews(events: DataFrame, paused: str, resumed: dict[str, str], ttl_s: int = 86_400) -> DataFrame:
+    """user_id, event_id, outcome, by_event of each pause: by the next event that resumes (its value) or pauses again (replaced), expired
+    if that comes more than ``ttl_s`` later, or waiting if there is none."""
+    rows = events.where(F.col("event_type").isin(paused, *resumed))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    after = F.lead(F.struct("event_id", "event_type", "ts")).over(w)
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = rows.withColumn("next", after).where(F.col("event_type") == paused)
+    late = at("next.ts") - at("ts") > ttl_s * 1000000
+    value = F.create_map(*[F.lit(x) for pair in resumed.items() for x in pair])
+    outcome = F.when(F.col("next").isNull(), "waiting").when(late, "expired").when(F.col("next.event_type") == paused, "replaced").otherwise(F.try_element_at(value, F.col("next.event_type")))
+    return rows.select("user_id", "event_id", outcome.alias("outcome"), F.when(~late, F.col("next.event_id")).alias("by_event"))
+
+
 def review(drafts: DataFrame, enabled: bool = True) -> DataFrame:
     """Final text and status of a reviewed draft; anything but approve and revise is a rejection. Without review, drafts pass as they are."""
     if not enabled:

@@ -217,6 +217,11 @@ def token_ttl(spark, d):
     return records.token_confirms(_t(spark, d, "events"), "signup", "click").select("event_id", "outcome")
 
 
+def review_outcomes(spark, d):
+    """A signup waits for review for a day, a purchase approves, an error rejects."""
+    return records.reviews(_t(spark, d, "events"), "signup", {"purchase": "approved", "error": "rejected"}).select("event_id", "outcome", "by_event")
+
+
 def review_decision(spark, d):
     return records.review(spark.createDataFrame(REVIEW_ROWS, "id long, action string, draft string, patient_summary string, revised string, name string, dept string, title string"))
 
@@ -280,6 +285,7 @@ def oracle_sql() -> dict[str, str]:
         "pending_queue": "select user_id, event_id from (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events where event_type in ('signup', 'purchase', 'error')) where r = 1 and event_type = 'signup'",
         "transfer_cap": f"select event_id, n, n <= 2 as accepted from (select event_id, row_number() over (partition by user_id, item order by ts, event_id) as n from (select *, sum((event_type = 'signup')::int) over (partition by {_EV}) as item from events) where event_type = 'click' and item > 0)",
         "token_ttl": f"select event_id, case when token is null or nth > 1 then 'invalid' when epoch_us(ts) - epoch_us(token) > 600000000 then 'expired' else 'ok' end as outcome from (select *, row_number() over (partition by user_id, num order by ts, event_id) as nth from (select *, max(case when event_type = 'signup' then ts end) over (partition by {_EV}) as token, sum((event_type = 'signup')::int) over (partition by {_EV}) as num from events) where event_type = 'click')",
+        "review_outcomes": f"select event_id, case when n is null then 'waiting' when late then 'expired' when k = 'signup' then 'replaced' when k = 'purchase' then 'approved' else 'rejected' end as outcome, case when not late then n end as by_event from (select *, epoch_us(t) - epoch_us(ts) > 86400000000 as late from (select event_id, event_type, ts, lead(event_id) over w as n, lead(event_type) over w as k, lead(ts) over w as t from events where event_type in ('signup', 'purchase', 'error') window w as (partition by {_EV}))) where event_type = 'signup'",
         "audit_timeline": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
     }
 
@@ -288,6 +294,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = (
         triage_vote, knn_topk, prior_distribution, label_examples, consult_filtered_knn, bm25_stats, bm25_search, rrf_fusion, rrf_fusion_queries, retrieval_eval,
         balanced_sample, head_sample, truncate_documents, label_balance, cleaning, pii_mask, pii_mask_documents, safety_flags, safety_flags_documents, symptom_validity,
-        drug_candidates, kg_triples, kg_nodes, kg_stats, kg_triples_star, kg_nodes_star, kg_stats_star, kg_two_hop, kg_two_hop_defaults, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_decision, audit_timeline,
+        drug_candidates, kg_triples, kg_nodes, kg_stats, kg_triples_star, kg_nodes_star, kg_stats_star, kg_two_hop, kg_two_hop_defaults, cascade_lookup, last_messages, latest_messages, pending_queue, transfer_cap, token_ttl, review_outcomes, review_decision, audit_timeline,
     )
     return {f.__name__: f for f in fs}
