@@ -8,8 +8,9 @@ with a third of all rows is no single group. Each list's greatest distance from
 How many lists a search looks into is measured on the sample as well.
 
 ``search`` takes the queries to their nearest lists, query blocks to vector blocks, and ranks by
-exact distances. With ``exact`` the distance of the k-th best so far excludes lists by the
-triangle inequality, and all others are read too: the result is that of a search of all rows.
+exact distances: first to ``FIRST`` lists, then to the others, of which the distance of the k-th best
+so far excludes some by the triangle inequality, and from which no farther vector is handed on. With
+``exact`` no list goes unread that isn't excluded: the result is that of a search of all rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ..sources import shared, sinks
 
 #: Sampled vectors for each list, most lists, rounds of k-means, vectors of a block, queries of a block.
 SAMPLE, LISTS, ROUNDS, BLOCK, QUERIES = 64, 4_096, 10, 4_096, 256
+#: Lists that a search looks into before it knows how near a k-th best is.
+FIRST = 4
 #: The share of near vectors that a search is to find.
 SHARE = 0.95
 
@@ -104,7 +107,7 @@ def _packed(batches: Iterator, size: int) -> Iterator:
 
 
 def _products(batches: Iterator, dim: int, k: int) -> Iterator:
-    """The k nearest vectors of the block for each query of the query block, of each row."""
+    """The k nearest vectors of the block for each query of the query block, of each row; none beyond what the query has k of."""
     import numpy as np
     import pyarrow as pa
 
@@ -117,6 +120,7 @@ def _products(batches: Iterator, dim: int, k: int) -> Iterator:
             far = _squares(queries, points)
             far[asked[:, None] == vec] = np.inf
             bound = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] > k else np.full(len(far), np.inf)
+            bound = np.minimum(bound, batch.column(5)[i].values.to_numpy())
             slack = 1e-8 + 1e-12 * ((queries * queries).sum(1) + (points * points).sum(1).max())
             q, r = np.nonzero((far <= (bound + slack)[:, None]) & (far < np.inf))
             dist = np.round(((points[r] - queries[q]) ** 2).sum(1), 9)
@@ -190,12 +194,13 @@ class VectorIndex:
             return cls(vectors.sparkSession, path)
         return cls.build(vectors, path, lists)
 
-    def _pairs(self, queries: DataFrame, probes: int, rest: bool) -> DataFrame:
-        """list, id, point, label (null) of each query at its ``probes`` nearest lists, or at all others that may hold a vector no farther than ``least``."""
+    def _pairs(self, queries: DataFrame, probes: int, most: int) -> DataFrame:
+        """list, id, point, label of each query (query_id, query, least) at its nearest lists from the ``probes``-th to the ``most``-th, without those
+        that can hold no vector at a distance of ``least`` or nearer, which goes on as the label."""
         import numpy as np
         import pyarrow as pa
 
-        dim, probes = self.dim, min(probes, int((self.radius >= 0).sum()))
+        dim = self.dim
         sent = self.spark.sparkContext.broadcast((self.centres, self.radius))
 
         def run(batches):
@@ -207,28 +212,24 @@ class VectorIndex:
                     batch, x = batch.filter(pa.array(ok, pa.bool_())), x[ok]
                     far = np.sqrt(_squares(x, centres))
                     far[:, radius < 0] = np.inf  # lists without a row
-                    near = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                    wanted = np.zeros(far.shape, bool)
-                    np.put_along_axis(wanted, near, True, axis=1)
-                    if rest:
-                        least = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-                        gap = np.maximum(far - radius - 1e-6 * (1 + np.sqrt((x * x).sum(1)))[:, None], 0.0)  # rounding
-                        wanted = ~wanted & (far < np.inf) & ~(gap * gap > least[:, None])  # no k-th best yet: all
-                    row, which = np.nonzero(wanted)
+                    place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1)
+                    least = batch.column(2).fill_null(np.inf).to_numpy(zero_copy_only=False)
+                    gap = np.maximum(far - radius - 1e-6 * (1 + np.sqrt((x * x).sum(1)))[:, None], 0.0)  # rounding
+                    row, which = np.nonzero((place >= probes) & (place < most) & (far < np.inf) & (gap * gap <= least[:, None]))
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * dim, pa.int32()), pa.array(x[row].ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), batch.column(0).take(pa.array(row)), flat, pa.nulls(len(row), pa.int32())], names=["list", "id", "point", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), batch.column(0).take(pa.array(row)), flat, pa.array(least[row])], names=["list", "id", "point", "label"])
 
-        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query", *(["least"] if rest else [])).where("query_id is not null")
-        return asked.mapInArrow(run, "list int, id long, point array<double>, label int")
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query", F.col("least").cast("double").alias("least")).where("query_id is not null")
+        return asked.mapInArrow(run, "list int, id long, point array<double>, label double")
 
     def _near(self, pairs: DataFrame, k: int) -> DataFrame:
         """The k nearest of every two blocks that meet at a list."""
         pairs = shared.saved(pairs, "probes")
         lists = [r.list for r in pairs.select("list").distinct().collect()]  # at most LISTS
         spread = F.pmod(F.xxhash64("id"), F.lit(8))
-        asked = pairs.repartition("list", spread).sortWithinPartitions("list").mapInArrow(lambda b: _packed(b, QUERIES), "list int, ids array<long>, labels array<int>, data binary")
-        asked = asked.select("list", F.col("ids").alias("asked"), F.col("data").alias("queries"))
-        met = self.blocks.where(F.col("list").isin(lists)).join(asked, "list").select("ids", "labels", "data", "asked", "queries")
+        asked = pairs.repartition("list", spread).sortWithinPartitions("list").mapInArrow(lambda b: _packed(b, QUERIES), "list int, ids array<long>, labels array<double>, data binary")
+        asked = asked.select("list", F.col("ids").alias("asked"), F.col("data").alias("queries"), F.col("labels").alias("least"))
+        met = self.blocks.where(F.col("list").isin(lists)).join(asked, "list").select("ids", "labels", "data", "asked", "queries", "least")
         dim = self.dim
         return met.mapInArrow(lambda b: _products(b, dim, k), f"query_id long, vec_id long, label {self.label}, dist double")
 
@@ -236,13 +237,10 @@ class VectorIndex:
         """From ``probes`` lists (as many as ``enough`` found at building, if none is given): query_id, vec_id, label, dist, rank of the k nearest indexed vectors of each query (query_id, query; ids are unique); a query's own row (vec_id = query_id) doesn't count, ties go to the smaller id."""
         w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
         best = lambda df: df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-        probes = probes or (min(4, self.probes) if exact else self.probes)
-        found = best(self._near(self._pairs(queries, probes, False), k))
-        if not exact:
-            return found
-        found = shared.saved(found, "near")
+        first, most = min(FIRST, probes or self.probes), len(self.centres) if exact else probes or self.probes
+        found = shared.saved(best(self._near(self._pairs(queries.withColumn("least", F.lit(None)), 0, first), k)), "near")
         least = found.where(F.col("rank") == k).select("query_id", F.col("dist").alias("least"))
-        more = self._near(self._pairs(queries.join(least, "query_id", "left"), probes, True), k)
+        more = self._near(self._pairs(queries.select("query_id", "query").join(least, "query_id", "left"), first, most), k)
         return best(found.drop("rank").unionByName(more))
 
 
