@@ -42,7 +42,8 @@ def test_recall_and_pruning(spark, tmp_path):
     assert 1 <= index.probes <= len(index.centres)
     shares = [r.recall for r in vector_index.recall(found, retrieval.knn(rows, asked, 10)).collect()]
     assert len(shares) == 30 and sum(shares) / len(shares) >= 0.9
-    plan = index.search(asked.limit(1), 10, probes=2)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    near = index._near(index._pairs(asked.limit(1).withColumn("least", F.lit(None)), 0, 2), 10)
+    plan = near._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     scan = next(s for s in plan.split("\n\n") if "/blocks" in s and "Scan parquet" in s)
     assert "list" in scan.split("PartitionFilters")[1].splitlines()[0]
 
