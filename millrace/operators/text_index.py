@@ -25,6 +25,8 @@ from . import plug
 
 #: Postings of a block, documents and tokens of a shard (whichever comes first), folders that terms are dealt to.
 BLOCK, SHARD_DOCS, SHARD_TOKENS, BUCKETS = 128, 65_536, 8 << 20, 64
+#: Queries whose scores a task adds up together.
+QUERIES = 256
 #: Intervals of a shard, of greatest bound, whose documents' scores tell what the k-th best is at least.
 SEEDS = 4
 #: Terms up to which a search names them in the scan's filter.
@@ -94,6 +96,43 @@ def _bounds(table):
     return table.append_column("bound", pa.array(most)).append_column("seed", pa.array(seed))
 
 
+def _added(blocks, heads, k: int):
+    """The k best documents of a shard for each query, by the blocks that its heads name."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    blocks, heads = blocks.combine_chunks(), heads.combine_chunks()
+    word = blocks["tok"].combine_chunks().dictionary_encode() if len(blocks) else pa.array([], pa.string()).dictionary_encode()
+    name = lambda codes, numbers: (codes.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | numbers.to_numpy().astype(np.int64)
+    own = name(word.indices, blocks["block"])
+    order = np.argsort(own)
+    named = name(pc.fill_null(pc.index_in(heads["tok"].combine_chunks(), value_set=word.dictionary), -1), heads["block"])
+    row = order[np.searchsorted(own[order], named)] if len(order) else np.zeros(0, np.int64)
+    lists = blocks["doc_ids"].combine_chunks()
+    ids, doc = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True)
+    parts = pc.list_flatten(blocks["parts"].combine_chunks()).to_numpy()
+    size = pc.list_value_length(lists).to_numpy()
+    start = np.cumsum(size) - size
+    query, weight = heads["query_id"].combine_chunks().dictionary_encode(), heads["weight"].to_numpy()
+    code = query.indices.to_numpy()
+    by_query = np.argsort(code, kind="stable")
+    out_query, out_doc, out_score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for mine in np.split(by_query, np.flatnonzero(np.diff(code[by_query])) + 1) if len(row) else ():
+        r = row[mine]
+        at = np.arange(int(size[r].sum())) + np.repeat(start[r] - (np.cumsum(size[r]) - size[r]), size[r])
+        score = np.round(np.bincount(doc[at], np.repeat(weight[mine], size[r]) * parts[at], len(ids)), 6)
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
+        found = found[np.lexsort((ids[found], -score[found]))[:k]]
+        out_query.append(np.full(len(found), code[mine[0]]))
+        out_doc.append(ids[found])
+        out_score.append(score[found])
+    names = query.dictionary.take(pa.array(np.concatenate(out_query)))
+    return pa.table([names, pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_score))], names=["query_id", "doc_id", "score"])
+
+
 class TextIndex:
     """An index at a path; see the module. ``tokens`` must be the one it was built with."""
 
@@ -153,17 +192,21 @@ class TextIndex:
         schema = f"query_id {dict(asked.dtypes)['query_id']}, tok string, shard long, block int, weight double, lo long, hi long, best double, bound double, seed boolean"
         return heads.groupBy("query_id", "shard").applyInArrow(_bounds, schema), keep
 
-    def _scores(self, heads: DataFrame, keep: Column) -> DataFrame:
-        """query_id, doc_id, score by the given blocks alone."""
-        postings = self.blocks.where(keep).select("tok", "shard", "block", "doc_ids", "parts").join(heads.select("query_id", "tok", "shard", "block", "weight"), ["tok", "shard", "block"])
-        rows = postings.select("query_id", "weight", F.explode(F.arrays_zip("doc_ids", "parts")).alias("p"))
-        return rows.groupBy("query_id", F.col("p.doc_ids").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("p.parts")).alias("score"))
+    def _best(self, heads: DataFrame, keep: Column, k: int) -> DataFrame:
+        """query_id, doc_id, score above 0 by the given blocks alone: of each query and shard the k best. A shard's blocks go to one task for every ``QUERIES`` queries, once."""
+        slots = -(-heads.select("query_id").distinct().count() // QUERIES)
+        asked = heads.select("shard", F.pmod(F.xxhash64("query_id"), F.lit(max(1, slots))).alias("slot"), "tok", "block", "query_id", "weight")
+        wanted = asked.groupBy("tok", "shard", "block", "slot").agg(F.count("*").alias("queries"))
+        blocks = self.blocks.where(keep).select("tok", "shard", "block", "doc_ids", "parts").join(wanted, ["tok", "shard", "block"])
+        blocks = blocks.select("tok", "block", "doc_ids", "parts", F.col("shard").alias("of_shard"), F.col("slot").alias("of_slot"))
+        both = blocks.groupBy("of_shard", "of_slot").cogroup(asked.groupBy("shard", "slot"))
+        return both.applyInArrow(lambda x, y: _added(x, y, k), f"query_id {dict(heads.dtypes)['query_id']}, doc_id long, score double")
 
     def needed(self, queries: DataFrame, k: int) -> tuple[DataFrame, Column]:
         """The heads with needed: false for blocks none of whose documents can be among the k best."""
         heads, keep = self.heads(queries)
         heads = shared.saved(heads, "heads")
-        best = self._scores(heads.where("seed"), keep)
+        best = self._best(heads.where("seed"), keep, k)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"))
         least = best.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
         need = F.col("bound") >= F.coalesce("least", F.lit(float("-inf"))) - 2e-6  # rounding
@@ -173,9 +216,9 @@ class TextIndex:
         """query_id, doc_id, score, rank of the k best documents of each query (query_id, text); cut to k first, then scores of 0 or less go.
         Ties go to the smaller id. A term given twice counts twice."""
         heads, keep = self.needed(queries, k)
-        scores = self._scores(heads.where("needed"), keep).withColumn("score", F.round("score", 6))
+        scores = self._best(heads.where("needed"), keep, k)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).where("score > 0")
+        return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
     def skipped(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """query_id, blocks, read: how many blocks the query's terms have, and of how many the postings are read for results."""

@@ -43,6 +43,7 @@ def test_search(spark, tmp_path, monkeypatch, block, docs, tokens):
     monkeypatch.setattr(text_index, "BLOCK", block)
     monkeypatch.setattr(text_index, "SHARD_DOCS", docs)
     monkeypatch.setattr(text_index, "SHARD_TOKENS", tokens)
+    monkeypatch.setattr(text_index, "QUERIES", 3 if block < 128 else 256)
     rows = corpus()
     index = text_index.TextIndex.build(spark.createDataFrame(rows, DOCS).repartition(3), f"{tmp_path}/index")
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
