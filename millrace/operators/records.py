@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render as R
 from ..functions import text as T
+from . import substring
 
 
 #: Ranges of a label's rows, each ranked by a task of its own.
@@ -54,19 +55,9 @@ def latest(conversations: DataFrame) -> DataFrame:
 
 
 def cascade_lookup(names: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query, tier, name, n_hits: exact names, else names that hold the query, else names that the query holds.
-
-    ``names`` (name) are distinct; ``queries`` (query) are a bounded set, broadcast. The exact tier is a
-    hash join; only queries it leaves over are held against all names.
-    """
-    queries = queries.where(F.trim("query") != "")
-    exact = queries.join(names, F.trim("query") == F.trim("name")).select("query", F.lit(1).alias("tier"), "name")
-    left = queries.join(exact.select("query").distinct(), "query", "left_anti")
-    tier = F.when(F.contains("name", "query"), 2).when(F.contains("query", "name"), 3)
-    loose = names.join(F.broadcast(left), F.contains("name", "query") | F.contains("query", "name")).select("query", tier.alias("tier"), "name")
-    w = Window.partitionBy("query")
-    hits = exact.unionByName(loose).withColumn("least", F.min("tier").over(w)).where("tier = least")
-    return hits.withColumn("n_hits", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("name"))).where(F.col("r") <= k).select("query", F.col("tier").cast("long").alias("tier"), "name", "n_hits")
+    """query, tier, name, n_hits: exact names, else names that hold the query, else names that the query holds (see ``substring.lookup``)."""
+    asked = queries.select(F.col("query").alias("id"), "query").dropDuplicates(["id"])
+    return substring.lookup(names, asked, k).withColumnRenamed("id", "query")
 
 
 def pending_queue(events: DataFrame, opened: str, closed: tuple[str, ...]) -> DataFrame:
