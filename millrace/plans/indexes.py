@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import segment, text_index, vector_index
+from ..operators import segment, substring, text_index, vector_index
 from ..sources import shared
 from . import catalogue as C
 
@@ -61,6 +61,23 @@ def segment_conversations(spark, d):
     return rows.select("conv_id", "turn", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(segment.joined(F.col("tokens")), 256).alias("tokens_sha256"))
 
 
+def _words(df):
+    return df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({LETTERS})"), F.lit(1))).alias("name"))
+
+
+def lookup_words(spark, d):
+    """Every word of the documents asks among the words of the benchmark: equal, part of longer ones, or made of shorter ones."""
+    asked = _words(C._t(spark, d, "documents")).distinct().select(F.col("name").alias("id"), F.col("name").alias("query"))
+    return substring.lookup(_words(C._t(spark, d, "benchmark")), asked).select(F.col("id").alias("word"), "tier", "name", "n_hits")
+
+
+def lookup_documents(spark, d):
+    """Every whole document asks among the names of parts and the benchmark's words of eight letters and more."""
+    names = C._t(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(_words(C._t(spark, d, "benchmark")).where(F.char_length("name") >= 8))
+    asked = C._t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("query"))
+    return substring.lookup(names, asked).select(F.col("id").alias("doc_id"), "tier", "name", "n_hits")
+
+
 def oracle_sql() -> dict[str, str]:
     """Left out: ``vector_index_search``, which may miss neighbours, and ``segment_conversations``, which finds paths through a lattice; their tests compare with all rows and with all paths."""
     by_item = f"""with {C._TOK}, q as (select item_id as query_id, tok, count(*) as times from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from benchmark) group by 1, 2),
@@ -74,7 +91,12 @@ b as materialized (select gram, lr.n::bigint as n, least(lr.e, rr.e) as entropy
 f as (select gram, n, entropy, unnest(range(1, length(gram))) as k from b where length(gram) > 1 and n >= 5 and entropy >= 0.5),
 h as (select f.gram, any_value(f.n) as n, min(ln(f.n) + ln(t) - ln(x.n) - ln(y.n)) as cohesion, any_value(f.entropy) as entropy from f join b x on x.gram = f.gram[1:k] join b y on y.gram = f.gram[k + 1:], t group by 1)
 select gram as word, n, round(cohesion, 6) as cohesion, round(entropy, 6) + 0.0 as entropy from (select * from h where cohesion >= 2 union all select gram, n, null, entropy from b where length(gram) = 1) order by n desc, gram limit 200000"""
+    tiers = r"""c as (select id, name, case when regexp_replace(name, '^\s+|\s+$', '', 'g') = query then 1 when contains(name, query) then 2 when contains(query, name) then 3 end as tier from n, (select id, regexp_replace(query, '^\s+|\s+$', '', 'g') as query from q) where query <> '' and name <> ''),
+m as (select *, min(tier) over (partition by id) as l from c where tier is not null), f as (select id, tier::bigint as tier, name, count(*) over (partition by id) as n_hits, row_number() over (partition by id order by name) as r from m where tier = l)"""
+    words = f"unnest(regexp_extract_all(lower(text), '{LETTERS}'))"
     return {
+        "lookup_words": f"with n as (select distinct {words} as name from benchmark), q as (select id, id as query from (select distinct {words} as id from documents)), {tiers} select id as word, tier, name, n_hits from f where r <= 5",
+        "lookup_documents": f"with n as (select p_name as name from part union select * from (select {words} as name from benchmark) where length(name) >= 8), q as (select doc_id as id, lower(text) as query from documents), {tiers} select id as doc_id, tier, name, n_hits from f where r <= 5",
         "segment_words": units,
         "bm25_index_search": C.oracle_sql()["bm25_search"],
         "bm25_index_items": f"{by_item} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) where rank <= 10 and score > 0",
@@ -83,4 +105,4 @@ select gram as word, n, round(cohesion, 6) as cohesion, round(entropy, 6) + 0.0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (bm25_index_search, bm25_index_items, vector_index_exact, vector_index_search, segment_words, segment_conversations)}
+    return {f.__name__: f for f in (bm25_index_search, bm25_index_items, vector_index_exact, vector_index_search, segment_words, segment_conversations, lookup_words, lookup_documents)}
