@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import shared
+from . import vector_index
 
 # Relation, type of head, type of tail, patterns; the first that matches counts.
 RULES = (
@@ -24,8 +24,8 @@ FIRST_HOP = ("symptom_of",)
 SECOND_HOP = ("has_drug", "has_treatment", "has_symptom", "has_examination", "has_complication", "belongs_to_department")
 
 
-#: Unresolved names broadcast at once.
-BLOCK = 2_000
+#: Cosines are equal that are so to six places.
+ROUNDING = 1e-6
 
 
 def relations(records: DataFrame) -> DataFrame:
@@ -98,26 +98,44 @@ def neighbors(tr: DataFrame, starts: DataFrame, allowed: tuple[str, ...] = SECON
     return tr.where(F.col("pred").isin(*allowed)).join(starts, F.col("head") == F.col("start")).select("start", "tail", F.col("pred").alias("relation"), F.col("cnt").alias("count"))
 
 
+def _dot(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def _norm(x):
+    return F.sqrt(_dot(x, x))
+
+
+def _unit(vector):
+    """The vector scaled to length 1, of doubles; null if it is zero or isn't finite."""
+    norm = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    return F.when((norm > 0) & (norm < float("inf")), F.transform(vector, lambda v: v.cast("double") / F.sqrt(norm)))
+
+
 def resolve(queries: DataFrame, names: DataFrame, vectors: DataFrame, least: float = 0.6, aliases: dict[str, str] = T.ALIASES) -> DataFrame:
     """query, node, method, sim of each query (query, vector): its name, without white space and by alias, if it is a
     node of any type (name); else the symptom (name, vector) of greatest cosine, by name if equal, from ``least`` up.
 
-    Only queries that are no nodes are held against the vectors, which are many; of each task the best of a query goes on.
+    Only queries that are no nodes are held against the vectors, through an index of the different ones, scaled to length 1: there ``least``
+    is a distance, and bounds of the lists exclude most of them. A vector that is zero or not whole has no cosine.
     """
     own = T.normalized(F.col("query"))
     asked = queries.select("query", "vector", own.alias("own"), T.canonical(own, aliases).alias("node"))
     exact = asked.join(names.select(F.col("name").alias("node")).distinct(), "node", "left_semi")
     found = exact.select("query", "node", F.when(F.col("own") == F.col("node"), "exact").otherwise("alias").alias("method"), F.lit(None).cast("double").alias("sim"))
-    rest = asked.join(exact.select("query"), "query", "left_anti").select("query", F.col("vector").alias("q"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("vector"), F.col("vector")))
-    # a block of queries goes to the executors at once, and reads the vectors once
-    n = max(1, -(-rest.count() // BLOCK))
-    blocks = [vectors.join(F.broadcast(rest.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i))) for i in range(n)]
-    near = reduce(DataFrame.unionByName, blocks).select("query", "name", F.round(F.when(norm > 0, dot(F.col("q"), F.col("vector")) / norm).otherwise(-1.0), 6).alias("sim"))
-    best = near.groupBy("query").agg(F.min(F.struct((-F.col("sim")).alias("far"), "name")).alias("best"))
+    # ids of their own, fixed by being written: a query's is never a vector's
+    rest = asked.join(exact.select("query"), "query", "left_anti").select("query", F.col("vector").alias("q"), (-1 - F.monotonically_increasing_id()).alias("query_id"))
+    rest = shared.saved(rest, "unresolved")
+    units = vectors.select("name", _unit(F.col("vector")).alias("embedding")).where("embedding is not null").groupBy("embedding").agg(F.min("name").alias("label"))
+    units = shared.saved(units.withColumn("vec_id", F.monotonically_increasing_id()), "units")
+    index = vector_index.VectorIndex.build(units, shared.folder(units.sparkSession, "unit-index"))
+    unit = rest.select("query_id", _unit(F.col("q")).alias("query")).where("query is not null")
+    near = index.nearest(unit, 2 - 2 * least + 4 * ROUNDING, 4 * ROUNDING).select("query_id", "vec_id")
+    # cosines of the few that are nearest
+    sims = near.join(rest, "query_id").join(units, "vec_id").select("query_id", F.col("label").alias("name"), F.round(_dot(F.col("q"), F.col("embedding")) / (_norm(F.col("q")) * _norm(F.col("embedding"))), 6).alias("sim"))
+    best = sims.groupBy("query_id").agg(F.min(F.struct((-F.col("sim")).alias("far"), "name")).alias("best"))
     hit = F.col("best.far") <= -least
-    close = rest.select("query").join(best, "query", "left").select("query", F.when(hit, F.col("best.name")).alias("node"), F.when(hit, "nearest").alias("method"), F.when(hit, -F.col("best.far")).alias("sim"))
+    close = rest.select("query", "query_id").join(best, "query_id", "left").select("query", F.when(hit, F.col("best.name")).alias("node"), F.when(hit, "nearest").alias("method"), F.when(hit, -F.col("best.far")).alias("sim"))
     return found.unionByName(close)
 
 

@@ -244,6 +244,23 @@ class VectorIndex:
         return best(found.drop("rank").unionByName(more))
 
 
+    def nearest(self, queries: DataFrame, limit: float, slack: float) -> DataFrame:
+        """query_id, vec_id, label, dist of each query's nearest indexed vectors, all within ``slack`` of its nearest, of those no farther than ``limit``
+        (distances are squares). Exact: lists that the triangle inequality excludes go unread, the limit and what the first lists hold tell which."""
+        best = lambda near: near.groupBy("query_id").agg(F.min("dist").alias("least"))
+        asked = queries.select("query_id", "query")
+        first = shared.saved(best(self._near(self._pairs(asked.withColumn("least", F.lit(limit)), 0, FIRST), 1)), "near")
+        bound = asked.join(first, "query_id", "left").fillna(limit, ["least"])
+        least = shared.saved(best(first.withColumnRenamed("least", "dist").unionByName(self._near(self._pairs(bound, FIRST, len(self.centres)), 1).select("query_id", "dist"))), "near")
+        # the same lists once more, for what is as near as the nearest
+        ties = asked.join(least.withColumn("least", F.col("least") + slack), "query_id")
+        return self._near(self._pairs(ties, 0, len(self.centres)), BLOCK)
+
+    def met(self, queries: DataFrame, limit: float) -> DataFrame:
+        """query_id, lists: how many lists the limit alone leaves to each query, of ``len(self.centres)``; queries it leaves none to are left out."""
+        return self._pairs(queries.withColumn("least", F.lit(limit)), 0, len(self.centres)).groupBy(F.col("id").alias("query_id")).agg(F.count("*").alias("lists"))
+
+
 def recall(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """query_id, recall: the share of each query's wanted rows (query_id, vec_id) that are found."""
     hits = wanted.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
