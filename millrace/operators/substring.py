@@ -33,10 +33,8 @@ def _stripped(text: Column) -> Column:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """The different grams of n characters."""
-    size = F.char_length(text)
-    at = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(n))))
+    """The different grams of n characters: what lies ahead of each place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def _least(k: int) -> Column:
@@ -66,9 +64,10 @@ def held(names: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     size = F.char_length("query")
     asked = queries.where(F.col("id").isNotNull() & (size >= 1) & (size <= longest)).select("id", "query")
     # grams that names hold, of every length that a query can ask for, with how much their blocks hold
-    grams = F.flatten(F.array(*(_grams(F.col("name"), n) for n in range(1, GRAM + 1))))
-    counted = names.select(F.explode(grams).alias("gram"), F.char_length("name").alias("chars")).groupBy("gram").agg(F.count("*").alias("df"), F.sum("chars").alias("chars"))
-    counted = shared.saved(counted, "grams")
+    every = F.flatten(F.array(*(_grams(F.col("name"), n) for n in range(1, GRAM + 1))))
+    parts = shared.saved(names.select("name", every.alias("grams")), "grams")  # worked out once
+    counted = parts.select(F.explode("grams").alias("gram"), F.char_length("name").alias("chars")).groupBy("gram").agg(F.count("*").alias("df"), F.sum("chars").alias("chars"))
+    counted = shared.saved(counted, "counts")
     wanted = F.when(size < GRAM, F.array("query")).otherwise(_grams(F.col("query"), GRAM))
     probed = asked.select("id", "query", F.size(wanted).alias("of"), F.explode(wanted).alias("gram")).join(counted.select("gram", "df"), "gram")
     rarest = probed.groupBy("id", "query", "of").agg(F.count("*").alias("met"), F.min(F.struct("df", "gram")).alias("rare")).where("met = of")
@@ -77,7 +76,7 @@ def held(names: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     heads = heads.select("gram", F.ceil(F.greatest(F.col("df") / BLOCK, F.col("chars") / BLOCK_CHARS)).alias("blocks"), F.ceil(F.col("nq") / ASKED).alias("teams"))
     heads = shared.saved(heads, "heads")
     # postings only of grams that are asked for
-    postings = names.select("name", F.explode(grams).alias("gram")).join(heads.select("gram", "blocks"), "gram")
+    postings = parts.select("name", F.explode("grams").alias("gram")).join(heads.select("gram", "blocks"), "gram")
     blocks = postings.groupBy("gram", F.pmod(F.xxhash64("name"), F.col("blocks")).alias("part")).agg(F.array_sort(F.collect_list("name")).alias("names"))
     blocks = blocks.join(heads.select("gram", "teams"), "gram").select("gram", "part", "names", F.explode(F.sequence(F.lit(0).cast("long"), F.col("teams") - 1)).alias("team"))
     teams = probes.join(heads, "gram").withColumn("team", F.pmod(F.xxhash64("id"), F.col("teams")))
