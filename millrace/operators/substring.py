@@ -26,10 +26,12 @@ from ..sources import shared
 #: Characters of a gram; names and characters of a block, queries that a block meets at once, blocks whose finds are put together first; characters of a shard.
 GRAM, BLOCK, BLOCK_CHARS, ASKED, MERGED, SHARD_CHARS = 3, 1_024, 1 << 16, 4_096, 512, 4 << 20
 FOUND = "n long, first array<string>"
+#: White space, as ``str.isspace`` has it.
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -67,7 +67,8 @@ def _words(df):
 
 def lookup_words(spark, d):
     """Every word of the documents asks among the words of the benchmark: equal, part of longer ones, or made of shorter ones."""
-    asked = _words(C._t(spark, d, "documents")).distinct().select(F.col("name").alias("id"), F.col("name").alias("query"))
+    words = shared.saved(_words(C._t(spark, d, "documents")).distinct(), "words")
+    asked = words.select(F.col("name").alias("id"), F.col("name").alias("query"))
     return substring.lookup(_words(C._t(spark, d, "benchmark")), asked).select(F.col("id").alias("word"), "tier", "name", "n_hits")
 
 

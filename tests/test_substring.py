@@ -7,7 +7,7 @@ import pytest
 from millrace.operators import records, substring
 
 NAMES = ["a", "ab", "abc", "abcd", " abcd", "bcd", "cd e", "éab", "漢字", "字", "x" * 40, "\U0001f600b", "AB", ""]
-QUERIES = ["abcd ", "b", "bc", "zabcz", "", "  ", "漢", "一漢字二", "cd", "none", "x" * 39, "x" * 50, "\U0001f600", "ab\nabc", "A", "　abc　", "a" * 100_000 + "bcd"]
+QUERIES = ["abcd ", "b", "bc", "zabcz", "", "  ", "漢", "一漢字二", "cd", "none", "x" * 39, "x" * 50, "\U0001f600", "ab\nabc", "A", "　abc　", "a" * 100_000 + "bcd", "a" + " " * 200_000 + "bcd", "\x1c\x85abc\u2028"]
 
 
 def corpus(seed=3):
