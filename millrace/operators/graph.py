@@ -40,19 +40,29 @@ def relations(records: DataFrame) -> DataFrame:
     return records.select("seq", found.alias("pred"), trimmed.alias("head"), T.split_answer(F.col("answer")).alias("tails")).where("pred is not null and head <> ''")
 
 
+def instances(records: DataFrame) -> DataFrame:
+    """head, pred, tail, cnt, first_seq of every relation, seeds or not: counts add up and the first place is a minimum, so those of parts merge."""
+    flat = relations(records).select("seq", "pred", T.normalized(F.col("head")).alias("head"), F.posexplode("tails").alias("pos", "tail")).withColumn("tail", T.normalized(F.col("tail"))).where("tail <> ''")
+    return flat.groupBy("head", "pred", "tail").agg(F.count("*").alias("cnt"), F.min(F.col("seq") * 1000000 + F.col("pos") * 2).alias("first_seq"))
+
+
+def seeds(records: DataFrame) -> DataFrame:
+    """seed: diseases, as some record gives their department or, but for operations, complications."""
+    return relations(records).where(F.col("pred").isin("belongs_to_department", "has_complication") & ~((F.col("pred") == "has_complication") & F.col("head").contains("术"))).select(T.normalized(F.col("head")).alias("seed")).distinct()
+
+
+def seeded(found: DataFrame, seeds_: DataFrame) -> DataFrame:
+    """head, pred, tail, cnt, first_seq of instances whose disease side is a seed; symptoms also count backwards."""
+    key = F.when(F.col("pred") == "symptom_of", F.col("tail")).otherwise(F.col("head"))
+    kept = found.join(seeds_, key == F.col("seed"), "left_semi")
+    kept = kept.where("pred <> 'has_complication'").unionByName(kept.where("pred = 'has_complication'").join(seeds_, F.col("tail") == F.col("seed"), "left_semi"))
+    back = kept.where((F.col("pred") == "has_symptom") & T.valid_symptom(F.col("tail"))).select(F.col("tail").alias("head"), F.lit("symptom_of").alias("pred"), F.col("head").alias("tail"), "cnt", (F.col("first_seq") + 1).alias("first_seq"))
+    return kept.unionByName(back).groupBy("head", "pred", "tail").agg(F.sum("cnt").alias("cnt"), F.min("first_seq").alias("first_seq"))
+
+
 def triples(records: DataFrame) -> DataFrame:
     """head, pred, tail, cnt, first_seq: kept if the disease side is a seed; symptoms also count backwards."""
-    rel = relations(records)
-    squeeze = T.normalized
-    flat = rel.select("seq", "pred", squeeze(F.col("head")).alias("head"), F.posexplode("tails").alias("pos", "tail")).withColumn("tail", squeeze(F.col("tail"))).where("tail <> ''")
-    seeds = rel.where(F.col("pred").isin("belongs_to_department", "has_complication") & ~((F.col("pred") == "has_complication") & F.col("head").contains("术"))).select(squeeze(F.col("head")).alias("seed")).distinct()
-    key = F.when(F.col("pred") == "symptom_of", F.col("tail")).otherwise(F.col("head"))
-    kept = flat.join(seeds, key == F.col("seed"), "left_semi")
-    kept = kept.where("pred <> 'has_complication'").unionByName(kept.where("pred = 'has_complication'").join(seeds, F.col("tail") == F.col("seed"), "left_semi"))
-    order = F.col("seq") * 1000000 + F.col("pos") * 2
-    forth = kept.select("head", "pred", "tail", order.alias("o"))
-    back = kept.where((F.col("pred") == "has_symptom") & T.valid_symptom(F.col("tail"))).select(F.col("tail").alias("head"), F.lit("symptom_of").alias("pred"), F.col("head").alias("tail"), (order + 1).alias("o"))
-    return forth.unionByName(back).groupBy("head", "pred", "tail").agg(F.count("*").alias("cnt"), F.min("o").alias("first_seq"))
+    return seeded(instances(records), seeds(records))
 
 
 def nodes(tr: DataFrame) -> DataFrame:
