@@ -97,7 +97,7 @@ class KeyedTable:
         numbers = self._numbers()
         part = f"{numbers[-1] + 1 if numbers else 0:010d}"
         folder = f"{self.path}/parts/part={part}"
-        rows.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(folder)
+        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(folder)
         glob = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/bucket=*")
         found = glob.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(glob) or []
         return part, sorted(int(s.getPath().getName().split("=")[1]) for s in found)
