@@ -78,13 +78,16 @@ class Stretches:
             return common.mix((self.upto[end] - self.upto[begin]) * self.back[begin] + (end - begin).astype(U64))
 
 
+#: A symbol for each byte.
+LETTERS = common.mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+
+
 class Bytes:
     """Documents as bytes."""
 
     def split(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, Callable[[int, int], bytes]]]:
-        letters = common.mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
         for text in texts:
-            yield letters[np.frombuffer(text, np.uint8)], self.cutter(text)
+            yield LETTERS[np.frombuffer(text, np.uint8)], self.cutter(text)
 
     @staticmethod
     def cutter(text: bytes) -> Callable[[int, int], bytes]:

@@ -2,14 +2,15 @@
 
 The bytes covered by a string of ``length`` bytes that also starts in a document with a smaller
 doc_id are removed. Reads (stretches whose anchor is found in several documents, see ``repeats``) are
-sorted by the column-wise method for collections: in round j the suffixes of length j of all reads
-are inserted at once. Where a suffix goes follows from ranks of its first symbol in the collection's
-Burrows-Wheeler transform so far; transform and suffix names are files that each round reads and writes
-from front to back. After the last round one more pass gives the common prefixes of neighbours, up
-to ``length``; runs of neighbours that share that much are equal strings, and the least doc_id of a
-run tells which of them to remove.
+sorted column by column: they lie with their anchors in one column, so equal windows begin in one column too, and round
+by round, from the last column to the first, the suffixes of all reads from a column on are put in order by that column's symbols
+and the order of the column behind. Neighbours in a column that share ``length`` symbols are equal strings, and the least
+doc_id of a run of them tells which to remove. A round costs as much as there are reads, whatever their length,
+and nothing is held but the reads of the group.
 
-The files lie in a folder of the task's own, which goes with it; a lost task begins anew.
+``column_wise`` is the form for texts without a common column: in round j the suffixes of length j of all texts are inserted at
+once into the order of all shorter ones, where ranks in the Burrows-Wheeler transform so far say; its files lie in a folder of the caller's.
+The operator doesn't need it: an insertion costs as much as all suffixes so far.
 
 Null and empty texts have no bytes. A null doc_id counts as one document after all others, that of id
 2^63 - 1 too. Rows with one doc_id are the same document, and don't remove each other's strings; each has
@@ -20,7 +21,6 @@ long. Columns other than doc_id and text are not read. An empty table gives no r
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import common, repeats
 
 LENGTH, GRAM = 50, 24
 
@@ -81,26 +81,55 @@ def column_wise(texts: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray
     return names // step, names % step, np.fromfile(bwt_file, kind)
 
 
-def first_documents(length: int):
+def columns(texts: list[bytes], shift: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The column-wise rounds over texts that lie ``shift`` columns in: from the last column to the first, each column, the suffixes
+    from there on in order, and the table of symbols (0 outside of a text) with the number of columns of each row that lie before its text.
+
+    A round's order is the one of the column behind, sorted stably by the column's symbols; equal suffixes are in the order of their texts."""
+    m = len(texts)
+    size = np.fromiter(map(len, texts), np.int64, m)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    known = np.bincount(data, minlength=256) > 0
+    code = np.cumsum(known).astype(np.uint8 if known.sum() < 256 else np.uint16)
+    table = np.zeros((m, int((shift + size).max(initial=0))), code.dtype)
+    row = np.repeat(np.arange(m), size)
+    table[row, np.arange(len(data)) - np.repeat(np.cumsum(size) - size - shift, size)] = code[data]
+    by_column, order = np.ascontiguousarray(table.T), np.arange(m)
+    for column in range(table.shape[1] - 1, -1, -1):
+        order = order[np.argsort(by_column[column][order], kind="stable")]
+        yield column, order, table, size
+
+
+def anchored(texts: list[bytes], gram: int) -> np.ndarray:
+    """Where each read's anchor is: of all windows of a read it is the least gram, so of the whole read too."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = np.cumsum(size) - size
+    grams = common.gram_hashes(repeats.LETTERS[np.frombuffer(b"".join(texts), np.uint8)], gram)
+    inside = np.arange(len(grams)) - np.repeat(start, size)[: len(grams)]
+    code = (grams & ~repeats._LOW) | inside.astype(np.uint64)
+    code[inside > np.repeat(size - gram, size)[: len(grams)]] = np.uint64(0xFFFFFFFFFFFFFFFF)  # reaches into the next read
+    return (np.minimum.reduceat(code, start) & repeats._LOW).astype(np.int64)
+
+
+def first_documents(length: int, gram: int):
     """The exact method for ``repeats.spans``."""
 
     def group(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        with tempfile.TemporaryDirectory() as folder:
-            read, left, _ = column_wise(texts, folder)
-        long = left >= length
-        read, left = read[long], left[long]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        window = size[read] - left
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        where = np.concatenate([[0], np.cumsum(size)])[read] + window
-        same = np.zeros(len(read), bool)  # the common prefix with the neighbour before has the full length
-        views = np.lib.stride_tricks.sliding_window_view(data, length)
-        for lo in range(1, len(read), 100_000):
-            hi = min(lo + 100_000, len(read))
-            same[lo:hi] = (views[where[lo:hi]] == views[where[lo - 1 : hi - 1]]).all(1)
-        starts = np.flatnonzero(~same)
-        least = np.minimum.reduceat(doc[read], starts) if len(starts) else doc[:0]
-        first = least[np.cumsum(~same) - 1]
+        anchor = anchored(texts, gram)
+        shift = anchor.max() - anchor
+        out: list[list[np.ndarray]] = [[], [], []]
+        for column, order, table, size in columns(texts, shift):
+            # equal windows lie in one column
+            own = order[(shift[order] <= column) & (column + length <= shift[order] + size[order])]
+            if not len(own):
+                continue
+            same = np.zeros(len(own), bool)  # the common prefix with the neighbour before has the full length
+            views = table[own, column : column + length]
+            same[1:] = (views[1:] == views[:-1]).all(1)
+            least = np.minimum.reduceat(doc[own], np.flatnonzero(~same))
+            for held, x in zip(out, (own, column - shift[own], least[np.cumsum(~same) - 1]), strict=True):
+                held.append(x)
+        read, window, first = map(np.concatenate, out)
         # only documents count here; a place that moves in step keeps runs together
         return repeats.as_runs(read, window, first, window + np.where(first == doc[read], at[read], -1))
 
@@ -110,7 +139,7 @@ def first_documents(length: int):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every document of (doc_id, text)."""
     docs = repeats.marked(docs)
-    found = repeats.spans(docs, repeats.Bytes(), gram, length, first_documents(length), across=True)
+    found = repeats.spans(docs, repeats.Bytes(), gram, length, first_documents(length, gram), across=True)
 
     def finish(rows, spans_of) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], [], []]

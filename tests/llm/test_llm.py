@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import common, decontaminate, jaccard_join, language_id, licenses, mixing, pipeline, quality, queries, substring_dedup, suffix_dedup, token_counts, token_output
+from millrace.llm import common, decontaminate, jaccard_join, language_id, licenses, mixing, pipeline, quality, queries, repeats, substring_dedup, suffix_dedup, token_counts, token_output
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -193,6 +193,35 @@ def test_column_wise(tmp_path):
     assert [texts[r][len(texts[r]) - n - 1] if n < len(texts[r]) else None for r, n in zip(read, left, strict=True)] == [letters[b - 1] if b else None for b in bwt]
 
 
+def test_reads_by_columns(monkeypatch):
+    """Windows of reads by rounds over columns, without files and without sorting shorter suffixes among longer ones."""
+    import tempfile
+
+    import numpy as np
+
+    monkeypatch.setattr(tempfile, "TemporaryDirectory", None)
+    length, gram, rng, at = 12, 5, random.Random(3), {}
+    letters = [bytes(rng.choices(b"ab", k=40)) + bytes(rng.choices(range(256), k=20)) for _ in range(30)]
+    stretches = [t[: rng.randint(30, 60)] + rng.choice(letters)[rng.randint(0, 20) :] for t in letters for _ in range(8)]
+    for n, text in enumerate(stretches):
+        places, first, last = repeats.anchors(common.gram_hashes(repeats.LETTERS[np.frombuffer(text, np.uint8)], gram), gram, length)
+        for p, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
+            at.setdefault(text[a : b + length], (n, a, p - a))
+    texts = list(at)
+    doc, place, anchor = (np.array(x) for x in zip(*at.values(), strict=True))
+    assert (suffix_dedup.anchored(texts, gram) == anchor).all()
+    least = {}
+    for t, d in zip(texts, doc.tolist(), strict=True):
+        for i in range(len(t) - length + 1):
+            w = t[i : i + length]
+            least[w] = min(least.get(w, d), d)
+    got = {}
+    for read, a, b, first, _ in zip(*(x.tolist() for x in suffix_dedup.first_documents(length, gram)(texts, doc, place)), strict=True):
+        got |= {(read, i): first for i in range(a, b + 1)}
+    assert got == {(r, i): least[t[i : i + length]] for r, t in enumerate(texts) for i in range(len(t) - length + 1)}
+    assert len(texts) > 1_000 and sum(least[t[i : i + length]] < d for t, d in zip(texts, doc.tolist(), strict=True) for i in range(len(t) - length + 1)) > 1_000
+
+
 @pytest.mark.parametrize(("together", "crowded"), [(16_384, 4), (3, 1)])
 def test_substrings(docs, rows, together, crowded, monkeypatch):
     monkeypatch.setattr("millrace.llm.repeats.TOGETHER", together)
