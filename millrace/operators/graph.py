@@ -28,8 +28,8 @@ SECOND_HOP = ("has_drug", "has_treatment", "has_symptom", "has_examination", "ha
 ROUNDING = 1e-6
 
 
-def relations(records: DataFrame) -> DataFrame:
-    """seq, pred, head, tails of (seq, question, answer); rows without a relation go."""
+def relations(records: DataFrame, *others: str) -> DataFrame:
+    """seq, pred, head, tails (and other columns) of (seq, question, answer); rows without a relation go."""
     q, found, head = F.col("question"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for pred, _, _, patterns in reversed(RULES):
         for p in reversed(patterns):
@@ -37,13 +37,21 @@ def relations(records: DataFrame) -> DataFrame:
             found = F.when(hit, pred).otherwise(found)
             head = F.when(hit, F.substring(q, F.lit(1), F.regexp_instr(q, F.lit(p)) - 1)).otherwise(head)
     trimmed = T.strip(F.regexp_replace(head, f"[{HEAD_TRIM}]+$", ""))
-    return records.select("seq", found.alias("pred"), trimmed.alias("head"), T.split_answer(F.col("answer")).alias("tails")).where("pred is not null and head <> ''")
+    return records.select("seq", found.alias("pred"), trimmed.alias("head"), T.split_answer(F.col("answer")).alias("tails"), *others).where("pred is not null and head <> ''")
+
+
+def counted(records: DataFrame) -> DataFrame:
+    """seq (the least), question, answer, times: equal records as one, so that rules are tried once on each."""
+    return records.groupBy("question", "answer").agg(F.min("seq").alias("seq"), F.count("*").alias("times")).select("seq", "question", "answer", "times")
 
 
 def instances(records: DataFrame) -> DataFrame:
-    """head, pred, tail, cnt, first_seq of every relation, seeds or not: counts add up and the first place is a minimum, so those of parts merge."""
-    flat = relations(records).select("seq", "pred", T.normalized(F.col("head")).alias("head"), F.posexplode("tails").alias("pos", "tail")).withColumn("tail", T.normalized(F.col("tail"))).where("tail <> ''")
-    return flat.groupBy("head", "pred", "tail").agg(F.count("*").alias("cnt"), F.min(F.col("seq") * 1000000 + F.col("pos") * 2).alias("first_seq"))
+    """head, pred, tail, cnt, first_seq of every relation, seeds or not: counts add up and the first place is a minimum, so those of parts merge.
+    Records may be counted (``times``)."""
+    if "times" not in records.columns:
+        records = records.withColumn("times", F.lit(1).cast("long"))
+    flat = relations(records, "times").select("seq", "times", "pred", T.normalized(F.col("head")).alias("head"), F.posexplode("tails").alias("pos", "tail")).withColumn("tail", T.normalized(F.col("tail"))).where("tail <> ''")
+    return flat.groupBy("head", "pred", "tail").agg(F.sum("times").alias("cnt"), F.min(F.col("seq") * 1000000 + F.col("pos") * 2).alias("first_seq"))
 
 
 def seeds(records: DataFrame) -> DataFrame:
@@ -53,11 +61,15 @@ def seeds(records: DataFrame) -> DataFrame:
 
 def seeded(found: DataFrame, seeds_: DataFrame) -> DataFrame:
     """head, pred, tail, cnt, first_seq of instances whose disease side is a seed; symptoms also count backwards."""
+    head, tail = seeds_.select(F.col("seed").alias("_of")), seeds_.select(F.col("seed").alias("_also")).distinct()
     key = F.when(F.col("pred") == "symptom_of", F.col("tail")).otherwise(F.col("head"))
-    kept = found.join(seeds_, key == F.col("seed"), "left_semi")
-    kept = kept.where("pred <> 'has_complication'").unionByName(kept.where("pred = 'has_complication'").join(seeds_, F.col("tail") == F.col("seed"), "left_semi"))
-    back = kept.where((F.col("pred") == "has_symptom") & T.valid_symptom(F.col("tail"))).select(F.col("tail").alias("head"), F.lit("symptom_of").alias("pred"), F.col("head").alias("tail"), "cnt", (F.col("first_seq") + 1).alias("first_seq"))
-    return kept.unionByName(back).groupBy("head", "pred", "tail").agg(F.sum("cnt").alias("cnt"), F.min("first_seq").alias("first_seq"))
+    kept = found.join(head, key == F.col("_of"), "left_semi")
+    # of complications the tail is a disease too; of others it is not looked up
+    kept = kept.join(tail, (F.col("pred") == "has_complication") & (F.col("tail") == F.col("_also")), "left").where("pred <> 'has_complication' or _also is not null")
+    own = F.struct("head", "pred", "tail", "cnt", "first_seq")
+    back = F.struct(F.col("tail").alias("head"), F.lit("symptom_of").alias("pred"), F.col("head").alias("tail"), "cnt", (F.col("first_seq") + 1).alias("first_seq"))
+    both = F.when((F.col("pred") == "has_symptom") & T.valid_symptom(F.col("tail")), F.array(own, back)).otherwise(F.array(own))
+    return kept.select(F.inline(both)).groupBy("head", "pred", "tail").agg(F.sum("cnt").alias("cnt"), F.min("first_seq").alias("first_seq"))
 
 
 def triples(records: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from ..sources.keyed import BUCKETS, PARTS, KeyedTable
 from . import graph
 
@@ -23,8 +24,14 @@ class GraphState:
 
     def add(self, records: DataFrame, batch: int) -> bool:
         """False if this batch is in already. The tables take it one after the other; a batch that was cut off between them is sent again, and the first leaves it out."""
+        done = self.instances.batch(), self.seeds.batch()
+        if all(d is not None and batch <= d for d in done):
+            return False
+        # whatever the records come from is worked out once for both tables
+        records = shared.saved(graph.counted(records), "records")
         first = self.instances.upsert(graph.instances(records), batch)
-        return self.seeds.upsert(graph.seeds(records).withColumn("n", F.lit(1)), batch) or first
+        asked = records.select("question").distinct().select(F.lit(0).cast("long").alias("seq"), "question", F.lit("").alias("answer"))
+        return self.seeds.upsert(graph.seeds(asked).withColumn("n", F.lit(1)), batch) or first
 
     def compact(self, most: int = PARTS) -> tuple[list[int], list[int]]:
         return self.instances.compact(most), self.seeds.compact(most)

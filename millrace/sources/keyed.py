@@ -127,8 +127,12 @@ class KeyedTable:
         return many
 
     def read(self) -> DataFrame:
-        """One row a key, as of the last version now."""
-        rows = self._folded(self._parts([(b, p) for b, parts in self.parts().items() for p in parts]))
+        """One row a key, as of the last version now. A bucket of one part is folded as it is."""
+        held = self.parts()
+        once, more = ([(b, p) for b, parts in held.items() for p in parts if (len(parts) == 1) == one] for one in (True, False))
+        rows = self._parts(once)
+        if more:
+            rows = self._folded(self._parts(more)).unionByName(rows) if once else self._folded(self._parts(more))
         return rows.select(*self.columns) if self.merged else rows.where(f"not coalesce({DELETED}, false)").select(*self.columns)
 
     def sweep(self) -> list[str]:
