@@ -229,7 +229,8 @@ class VectorIndex:
         spread = F.pmod(F.xxhash64("id"), F.lit(8))
         asked = pairs.repartition("list", spread).sortWithinPartitions("list").mapInArrow(lambda b: _packed(b, QUERIES), "list int, ids array<long>, labels array<double>, data binary")
         asked = asked.select("list", F.col("ids").alias("asked"), F.col("data").alias("queries"), F.col("labels").alias("least"))
-        met = self.blocks.where(F.col("list").isin(lists)).join(asked, "list").select("ids", "labels", "data", "asked", "queries", "least")
+        # queries times lists go from executor to executor: their files look small enough to be broadcast, through the driver, where equal vectors shrink
+        met = self.blocks.where(F.col("list").isin(lists)).join(asked.hint("merge"), "list").select("ids", "labels", "data", "asked", "queries", "least")
         dim = self.dim
         return met.mapInArrow(lambda b: _products(b, dim, k), f"query_id long, vec_id long, label {self.label}, dist double")
 

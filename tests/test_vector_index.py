@@ -48,6 +48,16 @@ def test_recall_and_pruning(spark, tmp_path):
     assert "list" in scan.split("PartitionFilters")[1].splitlines()[0]
 
 
+def test_queries_of_lists_are_not_broadcast(spark, tmp_path):
+    """Every query at every list is too much for the driver, however small its files are."""
+    index = vector_index.VectorIndex.build(spark.createDataFrame(vectors(), ROWS), f"{tmp_path}/index")
+    asked = index.blocks.select(F.explode("ids").alias("query_id")).select("query_id", F.array(*[F.lit(1.0)] * 6).alias("query"), F.lit(None).alias("least"))
+    near = index._near(index._pairs(asked, 0, len(index.centres)), 10)
+    assert near.count() > 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
 @pytest.mark.parametrize("sf", ["0.01", "0.1"])
 def test_recall_of_given_vectors(spark, tmp_path, sf):
     """At production parameters."""
