@@ -1,7 +1,7 @@
 """A BM25 index that is written once and searched often: postings in blocks with their best scores.
 
 ``build`` tokenises the documents once. A task gathers the postings of some tens of thousands of
-documents, a *shard*, and cuts each term's, in the order of ids, into blocks; only blocks are
+documents, a *shard* (counted a thousand documents at a time, so that their words are not held), and cuts each term's, in the order of ids, into blocks; only blocks are
 shuffled, to files by hash of the term, so a term that most documents hold is spread over all
 shards. Each block keeps the ids it lies between and the best score that a posting of it gives.
 
@@ -24,7 +24,7 @@ from ..sources import shared, sinks
 from . import plug
 
 #: Postings of a block, documents and tokens of a shard (whichever comes first), folders that terms are dealt to.
-BLOCK, SHARD_DOCS, SHARD_TOKENS, BUCKETS = 128, 65_536, 8 << 20, 64
+BLOCK, SHARD_DOCS, SHARD_TOKENS, BUCKETS = 128, 65_536, 2 << 20, 64
 #: Queries whose scores a task adds up together.
 QUERIES = 256
 #: Intervals of a shard, of greatest bound, whose documents' scores tell what the k-th best is at least.
@@ -43,22 +43,36 @@ def _shards(batches: Iterator, block: int, most_docs: int, most_tokens: int) ->
 
     part, number, held, docs, tokens = TaskContext.get().partitionId(), 0, [], 0, 0
 
-    def flush() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending")]))
-        ids, lists = table["doc_id"].to_numpy(), table["tokens"].combine_chunks()
+    def counted(batch: pa.RecordBatch) -> tuple:
+        """Ids and lengths of some documents, and of each of their terms once the term, the document's place and how often."""
+        lists = batch.column(1)
         dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         word = pc.list_flatten(lists).dictionary_encode()
-        row = np.repeat(np.arange(len(ids)), dl)
-        key, tf = np.unique(word.indices.to_numpy().astype(np.int64) * len(ids) + row, return_counts=True)
-        tok, row = np.divmod(key, max(1, len(ids)))
+        key, tf = np.unique(word.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        tok, row = (x.astype(np.int32) for x in np.divmod(key, max(1, len(dl))))
+        # copies, so that nothing of the batch is kept
+        return batch.column(0).to_numpy().copy(), dl, pa.DictionaryArray.from_arrays(pa.array(tok), word.dictionary), row, tf.astype(np.int32)
+
+    def flush() -> pa.RecordBatch:
+        ids, dl = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int32)
+        rank[by_id] = np.arange(len(ids))
+        words = pa.chunked_array([h[2] for h in held]).unify_dictionaries().chunks
+        first = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
+        row = rank[np.concatenate([h[3] + f for h, f in zip(held, first.tolist(), strict=True)])]
+        tok, tf = np.concatenate([w.indices.to_numpy() for w in words]), np.concatenate([h[4] for h in held])
+        held.clear()
+        order = np.argsort(tok.astype(np.int64) * max(1, len(ids)) + row)
+        tok, row, tf, ids, dl = tok[order], row[order], tf[order], ids[by_id], dl[by_id]
+        del order
         place = np.arange(len(tok)) - np.searchsorted(tok, tok)
         starts = np.flatnonzero(place % block == 0)
         cut = pa.array(np.append(starts, len(tok)), pa.int32())
         lists_of = lambda x, kind: pa.ListArray.from_arrays(cut, pa.array(x, kind))
-        last = np.append(starts[1:], len(tok)) - 1
+        last = np.append(starts[1:], len(tok))[: len(starts)] - 1
         columns = [
-            word.dictionary.take(pa.array(tok[starts])), pa.array(np.full(len(starts), (part << 24) | number), pa.int64()), pa.array(place[starts] // block, pa.int32()),
+            words[0].dictionary.take(pa.array(tok[starts])), pa.array(np.full(len(starts), (part << 24) | number), pa.int64()), pa.array(place[starts] // block, pa.int32()),
             pa.array(ids[row[starts]]), pa.array(ids[row[last]]), lists_of(ids[row], pa.int64()), lists_of(tf, pa.int32()), lists_of(dl[row], pa.int32()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _POSTINGS.split(", ")])
@@ -66,11 +80,11 @@ def _shards(batches: Iterator, block: int, most_docs: int, most_tokens: int) ->
     for whole in batches:
         for lo in range(0, whole.num_rows, 1_024):
             batch = whole.slice(lo, 1_024)
-            held.append(batch)
-            docs, tokens = docs + batch.num_rows, tokens + len(pc.list_flatten(batch.column(1)))
+            held.append(counted(batch))
+            docs, tokens = docs + batch.num_rows, tokens + int(held[-1][1].sum())
             if docs >= most_docs or tokens >= most_tokens:
                 yield flush()
-                number, held, docs, tokens = number + 1, [], 0, 0
+                number, docs, tokens = number + 1, 0, 0
     if held:
         yield flush()
 

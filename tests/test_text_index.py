@@ -77,3 +77,37 @@ def test_nothing(spark, tmp_path):
     index = text_index.TextIndex.build(none, f"{tmp_path}/index")
     assert index.search(spark.createDataFrame([(1, "a b")], "query_id int, text string")).collect() == []
     assert index.search(spark.createDataFrame([], "query_id int, text string")).collect() == []
+
+
+def test_memory_of_a_shard(monkeypatch):
+    """A shard's words are counted as they come: what is held at once is far less than its tokens."""
+    import numpy as np
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c()), "partitionId": lambda self: 0}))
+    rng, words = np.random.default_rng(1), np.array([f"word{i}" for i in range(5_000)], object)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(1_025) * 400, pa.int32()), pa.array(words[np.minimum(rng.zipf(1.3, 1_024 * 400) - 1, 4_999)], pa.string()))
+
+    def batches(n):
+        for i in range(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1_024)[::-1] + i * 1_024), pa.concat_arrays([lists])], names=["doc_id", "tokens"])
+
+    most, seen = [0], batches(20)
+
+    def watched():
+        for b in seen:
+            most[0] = max(most[0], pa.total_allocated_bytes())
+            yield b
+
+    before = pa.total_allocated_bytes()
+    blocks = pa.Table.from_batches(text_index._shards(watched(), 128, 1 << 20, 1 << 30))
+    assert most[0] - before < 4 * lists.nbytes  # of 20 batches
+    assert sum(len(x) for x in blocks["doc_ids"].to_pylist()) == 20 * sum(len(set(x)) for x in lists.to_pylist())
+    assert sum(sum(x) for x in blocks["tfs"].to_pylist()) == 20 * 1_024 * 400
+    assert all(x == sorted(x) and (x[0], x[-1]) == (lo, hi) for x, lo, hi in zip(*(blocks[c].to_pylist() for c in ("doc_ids", "lo", "hi")), strict=True))
+
+
+def test_a_shard_without_words(spark, tmp_path):
+    index = text_index.TextIndex.build(spark.createDataFrame([(1, ""), (2, None)], DOCS).coalesce(1), f"{tmp_path}/index")
+    assert index.size["n"] == 2 and index.search(spark.createDataFrame([(1, "a")], "query_id int, text string")).collect() == []
