@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
 from . import plug
 
 #: Bytes of query vectors broadcast at once; more go through in blocks.
@@ -191,9 +192,11 @@ def _scores(batches, given, k: int, k1: float, b: float, avgdl: float):
             times = at[tok + 1] - at[tok]
             pos = np.arange(times.sum()) + np.repeat(at[tok] - (np.cumsum(times) - times), times)
             left += np.bincount(np.repeat(row, times) * n + query[pos], np.repeat(part, times) * weight[pos], left.size).reshape(left.shape)
-            score = np.round(left + often @ dense, 6)
-            r, q = np.nonzero((score >= least) & (score > 0) & (docs[:, None] != ids))
-            q, d, sc = (np.concatenate(x) for x in zip(held, (q, docs[r], score[r, q]), strict=True))
+            left += often @ dense
+            r, q = np.nonzero((left >= np.maximum(least - 1e-6, 0)) & (docs[:, None] != ids))  # rounding
+            score = np.round(left[r, q], 6)
+            fine = (score >= least[q]) & (score > 0)
+            q, d, sc = (np.concatenate(x) for x in zip(held, (q[fine], docs[r[fine]], score[fine]), strict=True))
             order = np.lexsort((d, -sc, q))
             q, d, sc = q[order], d[order], sc[order]
             place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -206,19 +209,27 @@ def bm25_queries(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1
     """query_id, doc_id, score, rank of the k best documents of each query (query_id, text), as of ``bm25_search`` for its tokens.
 
     Every document is held against every query: words of many queries by a matrix product, the others
-    by their postings. A block of queries goes to the executors at once; a task hands on k rows per query.
+    by their postings. The documents' words and the statistics are worked out once; then a block of queries goes to the executors
+    at a time, and a task hands on k rows per query. The work grows with documents times queries, what a task holds doesn't.
     A query's own document (doc_id = query_id) doesn't count. Ids are unique and not null.
     """
+    tokens = shared.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), plug.latin_tokens(F.col("text")).alias("tokens")), "tokens")
+    idf, size = bm25_stats(tokens.withColumnRenamed("tokens", "text"), tokens=lambda t: t)
+    idf, avgdl = shared.saved(idf, "idf"), size.first().avgdl or 1.0
+    n = queries.count()
+    n = 1 if n <= TEXT_BLOCK else -(-n // TEXT_BLOCK) + 1
+    blocks = [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    best = functools.reduce(DataFrame.unionByName, [_bm25_block(tokens, idf, avgdl, x, k, k1, b) for x in blocks])
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _bm25_block(tokens: DataFrame, idf: DataFrame, avgdl: float, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score: of each task's documents (doc_id, tokens) the k best of each query of a block."""
     import numpy as np
     import pyarrow as pa
 
-    spark, n = docs.sparkSession, queries.count()
-    if n > TEXT_BLOCK:
-        n = -(-n // TEXT_BLOCK) + 1
-        out = [bm25_queries(docs, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i), k, k1, b) for i in range(n)]
-        return functools.reduce(DataFrame.unionByName, out)
-    idf, size = bm25_stats(docs)
-    terms = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).join(idf, "tok").select(F.col("doc_id").alias("query_id"), "tok", (F.col("tf") * F.col("idf")).alias("weight")).toArrow().combine_chunks()
+    terms = postings(queries.select(F.col("query_id").alias("doc_id"), "text")).join(idf.hint("merge"), "tok").select(F.col("doc_id").alias("query_id"), "tok", (F.col("tf") * F.col("idf")).alias("weight")).toArrow().combine_chunks()
     word = terms["tok"].combine_chunks().dictionary_encode() if len(terms) else pa.array([], pa.string()).dictionary_encode()
     tok, weight = word.indices.to_numpy(), terms["weight"].to_numpy()
     ids, query = np.unique(terms["query_id"].to_numpy(), return_inverse=True)
@@ -231,12 +242,8 @@ def bm25_queries(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1
     hot[often] = np.arange(len(often))
     dense = np.zeros((len(often), len(ids)))
     dense[hot[tok[hot[tok] >= 0]], query[hot[tok] >= 0]] = weight[hot[tok] >= 0]
-    given = spark.sparkContext.broadcast((ids.astype(np.int64), word.dictionary, hot, dense, np.concatenate([[0], np.cumsum(held_by)]), query, weight))
-    avgdl = size.first().avgdl or 1.0
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("tokens"))
-    best = tokens.mapInArrow(lambda batches: _scores(batches, given, k, k1, b, avgdl), "query_id long, doc_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    given = tokens.sparkSession.sparkContext.broadcast((ids.astype(np.int64), word.dictionary, hot, dense, np.concatenate([[0], np.cumsum(held_by)]), query, weight))
+    return tokens.mapInArrow(lambda batches: _scores(batches, given, k, k1, b, avgdl), "query_id long, doc_id long, score double")
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:

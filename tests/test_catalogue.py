@@ -144,3 +144,19 @@ def test_stream(spark, tmp_path):
 
     stream.writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).foreachBatch(take).start().awaitTermination(120)
     assert {u for u, p in last.items() if p} == {r.user_id for r in records.pending_queue(batch, "signup", ("purchase", "error")).collect()}
+
+
+def test_bm25_queries_read_documents_once(spark, monkeypatch):
+    """However many blocks the queries make."""
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 3)
+    seen = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(i, f"a{i % 5} b{i % 3} c{i} both") for i in range(60)], "doc_id long, text string")
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    asked = spark.createDataFrame([(1_000 + i, f"a{i % 5} c{i}") for i in range(10)], "query_id long, text string")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in retrieval.bm25_queries(docs.mapInArrow(passed, docs.schema), asked, k=3).collect()}
+    assert seen.value == 60 and len(got) == 30 and all(got[1_000 + i, 1] == i for i in range(10))
