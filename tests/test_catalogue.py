@@ -160,3 +160,60 @@ def test_bm25_queries_read_documents_once(spark, monkeypatch):
     asked = spark.createDataFrame([(1_000 + i, f"a{i % 5} c{i}") for i in range(10)], "query_id long, text string")
     got = {(r.query_id, r["rank"]): r.doc_id for r in retrieval.bm25_queries(docs.mapInArrow(passed, docs.schema), asked, k=3).collect()}
     assert seen.value == 60 and len(got) == 30 and all(got[1_000 + i, 1] == i for i in range(10))
+
+
+def test_bm25_queries_read_queries_once(spark, monkeypatch):
+    """Besides counting them, and however many blocks they make: each block used to read all documents for its queries."""
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 3)
+    seen = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(i, f"a{i % 5} c{i} both") for i in range(60)], "doc_id long, text string")
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    asked = spark.createDataFrame([(1_000 + i, f"a{i % 5} c{i}") for i in range(10)], "query_id long, text string").mapInArrow(passed, "query_id long, text string")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in retrieval.bm25_queries(docs, asked, k=3).collect()}
+    assert seen.value <= 20 and len(got) == 30 and all(got[1_000 + i, 1] == i for i in range(10))
+
+
+@pytest.mark.parametrize("shared_words", [0, 25])
+def test_bm25_queries_of_kinds(spark, monkeypatch, shared_words):
+    """Texts of three kinds, copies among them, more than one product holds, against all sums; words of all texts weigh less than nothing where nearly all are such."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    r = random.Random(5)
+    common = [f"all{i}" for i in range(shared_words)]
+    texts = [common + [f"{'xyz'[i % 3]}{int(40 * r.random() ** 3)}" for _ in range(0 if shared_words else r.randint(0, 40))] for i in range(1_400)]
+    texts[1_200:1_300] = texts[:100]
+    rare = Counter(w for t in texts for w in set(t))
+    n, raw = len(texts), {w: math.log(len(texts) - c + 0.5) - math.log(c + 0.5) for w, c in rare.items()}
+    idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+    avgdl, counts = sum(map(len, texts)) / n, [Counter(t) for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    got = {}
+    for x in retrieval.bm25_queries(docs, docs.where("doc_id % 70 = 0").selectExpr("doc_id as query_id", "text"), k=5).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.doc_id, round(x.score, 5)))
+    for q in range(0, n, 70):
+        score = lambda d: sum(f * idf[w] * counts[d][w] * 2.5 / (counts[d][w] + 1.5 * (0.25 + 0.75 * len(texts[d]) / avgdl)) for w, f in counts[q].items() if w in counts[d])  # noqa: B023, E731
+        best = sorted((-round(score(d), 6), d) for d in range(n) if d != q)[:5]
+        assert sorted(got.get(q, [])) == [(i + 1, d, round(-s, 5)) for i, (s, d) in enumerate(best) if s < 0]
+
+
+def test_words_of_batches(spark):
+    """The same words as by the expression, of odd texts too."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators import plug
+
+    texts = [None, "", " - ", "a", "A b  a.B", "Kelvin İx 9é9", "äb", "end", "end", "\n", "z" * 5_000, "0　1 0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    terms = {}
+    for r in retrieval._terms(retrieval._counts(docs)).collect():
+        terms.setdefault(r.doc_id, {})[r.tok] = r.tf
+    size = {r.doc_id: r.dl for r in retrieval._counts(docs).collect()}
+    for r in docs.select("doc_id", plug.latin_tokens(F.col("text")).alias("t")).collect():
+        assert size[r.doc_id] == (None if r.t is None else len(r.t)) and terms.get(r.doc_id, {}) == {w: r.t.count(w) for w in r.t or []}
