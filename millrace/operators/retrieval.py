@@ -207,11 +207,12 @@ def _counted(batches):
 
 def _split(joined):
     """Words of texts as ``_counted`` joins them, and how many each has."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
-    lists = pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, pa.string()), joined), " ")
-    return pc.list_flatten(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(joined, " ")
+    words, size = pc.list_flatten(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).copy()
+    size[pc.equal(joined, "").to_numpy(zero_copy_only=False)] = 0
+    return words.filter(pc.not_equal(words, "")), size
 
 
 def _times(values):

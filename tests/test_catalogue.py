@@ -209,7 +209,7 @@ def test_words_of_batches(spark):
 
     from millrace.operators import plug
 
-    texts = [None, "", " - ", "a", "A b  a.B", "Kelvin İx 9é9", "äb", "end", "end", "\n", "z" * 5_000, "0　1 0"]
+    texts = [None, "", " - ", "a", "A b  a.B", "Kelvin İx 9é9", "äb", "end", "end", "\n", "z" * 5_000, "0　1 0"] + [" ".join(f"w{i * j % 7}" for j in range(i % 9)) for i in range(1_500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     terms = {}
     for r in retrieval._terms(retrieval._counts(docs)).collect():
